@@ -38,52 +38,60 @@ def latest_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataF
 
 
 # E2 building block ---------------------------------------------------------------
-def running_sum(
+def running_sums(
     df: DataFrame,
     order_by: list,
-    value: str | Column,
-    out: str = "running",
-    total_out: str | None = None,
+    values: dict,
+    totals: dict | None = None,
     blocks: int | None = None,
 ) -> DataFrame:
-    """Running sum of ``value`` in the total order ``order_by`` (rows
-    unbounded preceding .. current row), optionally with the grand total.
+    """Running sums (rows unbounded preceding .. current row) in the total
+    order ``order_by``: ``values`` maps output name -> value column; ``totals``
+    maps output name -> a name in ``values`` whose grand total to attach.
 
     ``order_by`` must be a total order (append a unique key). The ranged frame
-    is checkpointed so that each row's block is fixed once, even if tasks are
-    re-run; only block totals (``blocks`` rows) are broadcast.
+    is checkpointed so each row's block is fixed once, even if tasks re-run;
+    only block totals (``blocks`` rows) are broadcast.
     """
     spark = df.sparkSession
     n = blocks or shuffle_partitions(spark)
-    val = F.col(value) if isinstance(value, str) else value
+    names = list(values)
+    tmp = {name: f"__v{i}" for i, name in enumerate(names)}
+    staged = df.withColumns({tmp[k]: (F.col(v) if isinstance(v, str) else v) for k, v in values.items()})
     ranged = (
-        df.withColumn("__v", val)
-        .repartitionByRange(n, *_cols(order_by))
+        staged.repartitionByRange(n, *_cols(order_by))
         .withColumn("__blk", F.spark_partition_id())
         .checkpoint(eager=True)
     )
     within = Window.partitionBy("__blk").orderBy(*_cols(order_by)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = ranged.withColumn("__run", F.sum("__v").over(within))
+    local = ranged.withColumns({f"{tmp[k]}r": F.sum(tmp[k]).over(within) for k in names})
     # one row per block: bounded by the number of blocks, never by the data
-    per_block = ranged.groupBy("__blk").agg(F.sum("__v").alias("__bsum"))
+    per_block = ranged.groupBy("__blk").agg(*[F.sum(tmp[k]).alias(f"{tmp[k]}b") for k in names])
     before = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     offsets = per_block.select(
         "__blk",
-        F.coalesce(F.sum("__bsum").over(before), F.lit(0)).alias("__off"),
-        F.sum("__bsum").over(everything).alias("__tot"),
+        *[F.coalesce(F.sum(f"{tmp[k]}b").over(before), F.lit(0)).alias(f"{tmp[k]}o") for k in names],
+        *[F.sum(f"{tmp[src]}b").over(everything).alias(f"__t_{out}") for out, src in (totals or {}).items()],
     )
-    res = local.join(F.broadcast(offsets), "__blk").withColumn(out, F.col("__off") + F.col("__run"))
-    if total_out:
-        res = res.withColumn(total_out, F.col("__tot"))
-    return res.drop("__v", "__blk", "__run", "__off", "__tot")
+    res = local.join(F.broadcast(offsets), "__blk")
+    res = res.withColumns({k: F.col(f"{tmp[k]}o") + F.col(f"{tmp[k]}r") for k in names})
+    res = res.withColumns({out: F.col(f"__t_{out}") for out in (totals or {})})
+    drop = ["__blk"] + [c for k in names for c in (tmp[k], f"{tmp[k]}r", f"{tmp[k]}o")]
+    drop += [f"__t_{out}" for out in (totals or {})]
+    return res.drop(*drop)
+
+
+def running_sum(df: DataFrame, order_by: list, value, out: str = "running", total_out: str | None = None,
+                blocks: int | None = None) -> DataFrame:
+    return running_sums(df, order_by, {out: value}, {total_out: out} if total_out else None, blocks)
 
 
 def with_position(df: DataFrame, order_by: list, out: str = "position") -> DataFrame:
-    """1-based position in a total order, computed block-wise (see running_sum)."""
-    return running_sum(df, order_by, F.lit(1).cast("bigint"), out=out)
+    """1-based position in a total order, computed block-wise (see running_sums)."""
+    return running_sums(df, order_by, {out: F.lit(1).cast("bigint")})
 
 
 # E2 ------------------------------------------------------------------------------
@@ -91,14 +99,15 @@ def cumulative_share(
     df: DataFrame, value: str, key: str, out: str = "cumulative_pct", rank_out: str | None = None
 ) -> DataFrame:
     """Rows by ``value`` desc (ties by ``key``) with the running share of the
-    total in percent, rounded to 2."""
+    total in percent, rounded to 2, and optionally the 1-based rank."""
     order = [F.col(value).desc(), F.col(key).asc()]
-    res = running_sum(df, order, value, out="__cum", total_out="__all")
+    sums = {"__cum": F.col(value)}
+    if rank_out:
+        sums[rank_out] = F.lit(1).cast("bigint")
+    res = running_sums(df, order, sums, {"__all": "__cum"})
     res = res.withColumn(
         out, F.round(F.lit(100.0) * F.col("__cum").cast("double") / F.col("__all").cast("double"), 2)
     )
-    if rank_out:
-        res = running_sum(res, order, F.lit(1).cast("bigint"), out=rank_out)
     return res.drop("__cum", "__all")
 
 

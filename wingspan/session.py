@@ -34,6 +34,7 @@ def build_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.parquet.filterPushdown", "true")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
