@@ -575,7 +575,7 @@ def _fact_roundtrip_csv(spark, sf_dir):
 @register("fact_roundtrip_parquet")
 def _fact_roundtrip_parquet(spark, sf_dir):
     path = scratch_path(spark, "fact-parquet")
-    K.write_fact_parquet(fact(spark, sf_dir), path, shuffle_partitions(spark))
+    K.write_fact_parquet(fact(spark, sf_dir), path)
     return plain(spark.read.schema(S.FACT).parquet(path).select(*S.FACT_COLUMNS))
 
 
@@ -669,7 +669,7 @@ def _compare_storage(spark, sf_dir):
     path = scratch_path(spark, "storage")
     f = fact(spark, sf_dir)
     f.write.json(f"{path}/row")
-    K.write_fact_parquet(f, f"{path}/col", shuffle_partitions(spark))
+    K.write_fact_parquet(f, f"{path}/col")
     row = A.table_profile(spark, f"{path}/row", "json", layout="row", schema=S.FACT)
     col = A.table_profile(spark, f"{path}/col", "parquet", layout="columnar", schema=S.FACT)
     return A.compare_storage(row, col)

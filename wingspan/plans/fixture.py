@@ -24,6 +24,7 @@ with partition pruning, as the reference reads its column-store copy.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +34,13 @@ from pyspark.sql.utils import AnalysisException
 from wingspan import schemas as S
 from wingspan.functions import exprs as X
 from wingspan.operators.joins import bounded_broadcast
-from wingspan.session import shared_dir, shuffle_partitions
+from wingspan.session import shared_dir
 from wingspan.sources.sinks import write_fact_parquet
 
 DIMENSION_ROWS = 10_000
 
 _MATERIALISED: dict[tuple[str, str], str] = {}
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,7 +123,11 @@ def flights_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inputs_key(sf_dir: str) -> str:
+    """Inputs (path, size, mtime) plus the derivation's own source text, so a
+    changed derivation never reuses an old table."""
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h.update(inspect.getsource(flights_frame).encode())
+    h.update(inspect.getsource(geography).encode())
     for name in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
         p = f"{sf_dir.rstrip('/')}/{name}.parquet"
         try:
@@ -146,12 +152,16 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The materialised fact for ``sf_dir``, built on first use."""
+    """The materialised fact for ``sf_dir``, built on first use.
+
+    The DataFrame is kept per session, so its file index (the listing of the
+    month folders) is built once, as a catalog table would be."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    path = _MATERIALISED.get(key)
-    if path is None:
+    frame = _FRAMES.get(key)
+    if frame is None:
         path = f"{shared_dir(spark)}/wingspan-tables/flights-{_inputs_key(sf_dir)}"
         if not _complete(spark, path):
-            write_fact_parquet(flights_frame(spark, sf_dir), path, shuffle_partitions(spark))
+            write_fact_parquet(flights_frame(spark, sf_dir), path)
         _MATERIALISED[key] = path
-    return read_fact(spark, path)
+        frame = _FRAMES[key] = read_fact(spark, path)
+    return frame

@@ -17,7 +17,6 @@ from wingspan.functions import exprs as X
 from wingspan.operators import enrich as C
 from wingspan.operators import filters as B
 from wingspan.operators import ordering as O
-from wingspan.session import shuffle_partitions
 from wingspan.sources import raw, sinks
 
 ENRICHED_COLUMNS = [c for c in S.FACT_COLUMNS if c not in ("flight_date", "flight_year", "flight_month",
@@ -108,7 +107,7 @@ def run(
         raw.read_airlines(spark, airlines_path),
     )
     fact = expand_calendar(enriched, as_of)
-    sinks.write_fact_parquet(fact, out_path, shuffle_partitions(spark))
+    sinks.write_fact_parquet(fact, out_path)
     return spark.read.schema(S.FACT).parquet(out_path)
 
 

@@ -19,17 +19,23 @@ POINTER = "_current"
 
 
 # A4 (Parquet) ---------------------------------------------------------------------
-def write_fact_parquet(df: DataFrame, path: str, partitions: int, mode: str = "errorifexists") -> str:
+def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None,
+                       mode: str = "errorifexists") -> str:
     """Partitioned by (flight_year, flight_month), date-sorted within files.
 
-    Range partitioning on (flight_date, flight_number) gives each task a
-    contiguous slice of time, so a task writes one or two month folders, and
-    a hot day is split over several tasks by the second key.
+    ``REBALANCE`` on the partition columns hashes rows by month and lets AQE
+    size the write tasks from real shuffle sizes: small months are merged,
+    a hot month is split over several tasks (no single writer gets a third
+    of the data), and no separate sampling pass over the input is needed.
+    ``partitions`` is accepted for callers that fix the shuffle width.
     """
+    out = df.hint("rebalance", *S.FACT_PARTITION_COLUMNS) if partitions is None else df.repartition(
+        partitions, *S.FACT_PARTITION_COLUMNS, F.pmod(F.xxhash64("flight_number"), F.lit(max(1, partitions // 12)))
+    )
     (
-        df.repartitionByRange(partitions, "flight_date", "flight_number")
-        .sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, "flight_date")
+        out.sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, "flight_date")
         .write.mode(mode)
+        .option("maxRecordsPerFile", 5_000_000)
         .partitionBy(*S.FACT_PARTITION_COLUMNS)
         .parquet(path)
     )
