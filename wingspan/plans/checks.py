@@ -273,14 +273,14 @@ def _sort_by_rank(spark, sf_dir):
 def _top_k(spark, sf_dir):
     per_airline = fact(spark, sf_dir).groupBy("airline_code").agg(F.sum("seats").alias("total_seats"))
     top = O.top_k(per_airline, 10, [F.col("total_seats").desc(), "airline_code"])
-    return plain(W.with_position(top, [F.col("total_seats").desc(), "airline_code"]))
+    return plain(W.position_in_limited(top, [F.col("total_seats").desc(), "airline_code"]))
 
 
 # F5 / I4
 @register("recent_n")
 def _recent_n(spark, sf_dir):
     top = O.recent_n(events(spark, sf_dir), S.FIRST_SYNC_ROWS, "ts", "event_id")
-    return plain(W.with_position(top, [F.col("ts").desc(), F.col("event_id").desc()]))
+    return plain(W.position_in_limited(top, [F.col("ts").desc(), F.col("event_id").desc()]))
 
 
 # F6
