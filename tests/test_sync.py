@@ -103,3 +103,21 @@ def test_change_window_report(spark):
     w = I.windowed_change_counts(df, "updated_at", minutes=5)
     assert w.isStreaming is False and w.count() == 3
     assert df.filter(F.col("updated_at") > T0).count() == 2
+
+
+def test_marks_ignore_session_time_zone(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    from wingspan.operators import filters as B
+
+    mark = dt.datetime(2024, 1, 15, 0, 0, 0)
+    base = B.changed_since(ev, "ts", mark).count()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert B.changed_since(ev, "ts", mark).count() == base
+        r1 = I.change_window_report(ev, "ts", dt.datetime(2024, 1, 20, 12), minutes=1).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    r0 = I.change_window_report(ev, "ts", dt.datetime(2024, 1, 20, 12), minutes=1).collect()[0]
+    assert r0["new_records"] == r1["new_records"]
+    assert base == ev.filter(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).count()

@@ -155,6 +155,18 @@ def null_tokens(col, tokens=S.PANDAS_NULL_TOKENS) -> Column:
     return F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
 
 
+# literals --------------------------------------------------------------------------
+def ts_literal(value, data_type) -> Column:
+    """A timestamp literal typed like the column it is compared with.
+
+    Built from ISO text, so a ``timestamp_ntz`` literal never passes through
+    the Python process or session time zone."""
+    if isinstance(value, Column):
+        return value
+    text = value.isoformat(sep=" ") if isinstance(value, dt.datetime) else str(value)
+    return F.lit(text).cast(data_type)
+
+
 # calendar helpers (driver-side constants) ----------------------------------------
 def add_months(day: dt.date, months: int) -> dt.date:
     """Month arithmetic with end-of-month clamp (03-31 minus 1 month = 02-28/29)."""

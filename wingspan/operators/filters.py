@@ -49,13 +49,13 @@ def flag_filter(df: DataFrame, col: str, value: str = "Y") -> DataFrame:
 
 # B4 ---------------------------------------------------------------------------
 def changed_since(df: DataFrame, col: str, mark, inclusive: bool = False) -> DataFrame:
-    m = F.lit(mark)
+    m = X.ts_literal(mark, df.schema[col].dataType)
     return df.filter(F.col(col) >= m if inclusive else F.col(col) > m)
 
 
 # B5 ---------------------------------------------------------------------------
 def recent_window(df: DataFrame, col: str, as_of_ts, minutes: int = 1) -> DataFrame:
-    start = F.lit(as_of_ts) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    start = X.ts_literal(as_of_ts, df.schema[col].dataType) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
     return df.filter(F.col(col) >= start)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from wingspan import schemas as S
+from wingspan.functions.exprs import ts_literal
 from wingspan.operators.windows import latest_per_key
 from wingspan.sources.sinks import publish_version, read_current
 
@@ -127,7 +128,7 @@ def read_compacted(spark: SparkSession, target: str) -> DataFrame:
 # I7 --------------------------------------------------------------------------------------
 def change_window_report(changes: DataFrame, updated_at: str, as_of_ts, minutes: int = 1) -> DataFrame:
     """Count, earliest and latest change time since ``as_of_ts - minutes``."""
-    start = F.lit(as_of_ts) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    start = ts_literal(as_of_ts, changes.schema[updated_at].dataType) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
     recent = changes.filter(F.col(updated_at) >= start)
     return recent.agg(
         F.count(F.lit(1)).alias("new_records"),
