@@ -31,10 +31,10 @@ def trailing_months(
 ) -> DataFrame:
     """``date >= as_of - n months``: no upper bound, null dates drop."""
     cutoff = trailing_cutoff(as_of, months)
-    out = df.filter(F.col(date_col) >= F.lit(cutoff))
+    cond = F.col(date_col) >= F.lit(cutoff)
     if prune_partitions and {"flight_year", "flight_month"} <= set(df.columns):
-        out = out.filter(month_floor_predicate(cutoff))
-    return out
+        cond = cond & month_floor_predicate(cutoff)
+    return df.filter(cond)  # one filter: one analysis round-trip
 
 
 # B2 ---------------------------------------------------------------------------
