@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,22 +121,29 @@ def flights_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[cols[name].alias(name) for name in S.FACT_COLUMNS])
 
 
-def _inputs_key(sf_dir: str) -> str:
+def _inputs_key(spark: SparkSession, sf_dir: str) -> str:
     """Inputs (path, size, mtime) plus the derivation's own source text, so a
     changed derivation never reuses an old table."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
     h.update(inspect.getsource(flights_frame).encode())
     h.update(inspect.getsource(geography).encode())
     for name in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
-        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(name.encode())
+        h.update(f"{name}:{_stat(spark, f'{sf_dir.rstrip(chr(47))}/{name}.parquet')}".encode())
     return h.hexdigest()[:16]
 
 
+def _stat(spark: SparkSession, path: str) -> str:
+    """Size and modification time of a file or folder on any Hadoop file
+    system (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return "missing"
+    summary = fs.getContentSummary(p)
+    return f"{summary.getLength()}:{summary.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}"
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(f"{path}/_SUCCESS")
@@ -159,7 +165,7 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     frame = _FRAMES.get(key)
     if frame is None:
-        path = f"{shared_dir(spark)}/wingspan-tables/flights-{_inputs_key(sf_dir)}"
+        path = f"{shared_dir(spark)}/wingspan-tables/flights-{_inputs_key(spark, sf_dir)}"
         if not _complete(spark, path):
             write_fact_parquet(flights_frame(spark, sf_dir), path)
         _MATERIALISED[key] = path
