@@ -121,3 +121,27 @@ def test_marks_ignore_session_time_zone(spark):
     r0 = I.change_window_report(ev, "ts", dt.datetime(2024, 1, 20, 12), minutes=1).collect()[0]
     assert r0["new_records"] == r1["new_records"]
     assert base == ev.filter(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).count()
+
+
+def test_windowed_counts_late_data(spark, workdir):
+    feed, target, ckpt = (os.path.join(workdir, x) for x in ("feed", "target", "ckpt"))
+    os.makedirs(feed)
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def t(h, m, s):
+        return dt.datetime(2024, 1, 1, h, m, s)
+
+    def once():
+        stream = I.change_stream(spark, feed, schema, options={"recursiveFileLookup": "true"})
+        I.sync_windowed_counts(stream, "updated_at", target, ckpt, minutes=1, watermark_minutes=10).awaitTermination()
+        return {(r["window_start"].hour, r["window_start"].minute): r["new_records"]
+                for r in I.windowed_counts_state(spark, target).collect()}
+
+    drop(spark, feed, "b1", [(1, "a", t(10, 0, 10)), (2, "b", t(10, 0, 20)), (3, "c", t(10, 1, 5))])
+    assert once() == {(10, 0): 2, (10, 1): 1}
+    # late but within the watermark: counted; a new high moves the watermark to 10:20
+    drop(spark, feed, "b2", [(4, "d", t(10, 0, 30)), (5, "e", t(10, 30, 0))])
+    assert once() == {(10, 0): 3, (10, 1): 1, (10, 30): 1}
+    # older than the watermark: dropped, the window keeps its value
+    drop(spark, feed, "b3", [(6, "f", t(10, 0, 40))])
+    assert once()[(10, 0)] == 3

@@ -247,6 +247,12 @@ def _latest_per_key(spark, sf_dir):
     return plain(W.latest_per_key(events(spark, sf_dir), ["user_id"], ["ts", "event_id"]))
 
 
+# E2 over every hub (block-wise running sums)
+@register("hub_concentration_all")
+def _hub_concentration_all(spark, sf_dir):
+    return plain(Q.hub_concentration(fact(spark, sf_dir), AS_OF, top=None))
+
+
 # F1
 @register("sort_desc")
 def _sort_desc(spark, sf_dir):
@@ -646,6 +652,17 @@ def _sync_current_state(spark, sf_dir):
     return plain(I.current_state(spark, f"{base}/target", ["user_id"], "ts", ["event_id"]))
 
 
+# I7 streaming form
+@register("change_window_stream")
+def _change_window_stream(spark, sf_dir):
+    base = scratch_path(spark, "window-stream")
+    ev = events(spark, sf_dir)
+    stream = I.change_stream(spark, sf_dir, ev.schema, glob="events.parquet")
+    q = I.sync_windowed_counts(stream, "ts", f"{base}/target", f"{base}/checkpoint", minutes=1)
+    q.awaitTermination()
+    return plain(I.windowed_counts_state(spark, f"{base}/target"))
+
+
 # I6
 @register("sync_counters")
 def _sync_counters(spark, sf_dir):

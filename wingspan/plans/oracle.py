@@ -566,3 +566,11 @@ SELECT CAST(COUNT(*) AS BIGINT) AS rows_before, CAST(COUNT(*) + 100 AS BIGINT) A
 SQL["sync_current_state"] = SQL["latest_per_key"]
 
 SQL["sync_counters"] = """SELECT CAST(1 AS BIGINT) AS batches, CAST(COUNT(*) AS BIGINT) AS rows_synced FROM events"""
+
+SQL["hub_concentration_all"] = SQL["hub_concentration"].replace("SELECT * FROM ranked WHERE hub_rank <= 10",
+                                                              "SELECT * FROM ranked")
+
+SQL["change_window_stream"] = f"""SELECT {ts('time_bucket(INTERVAL 1 MINUTE, ts)')} AS window_start,
+       {ts('time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE')} AS window_end,
+       CAST(COUNT(*) AS BIGINT) AS new_records, {ts('MIN(ts)')} AS earliest, {ts('MAX(ts)')} AS latest
+FROM events GROUP BY time_bucket(INTERVAL 1 MINUTE, ts)"""
