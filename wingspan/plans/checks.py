@@ -88,7 +88,7 @@ from wingspan.operators import reconcile as G  # noqa: E402
 from wingspan.operators import windows as W  # noqa: E402
 from wingspan.plans import pipelines as P  # noqa: E402
 from wingspan.plans import raw_fixture as R  # noqa: E402
-from wingspan.session import scratch_path, shuffle_partitions  # noqa: E402
+from wingspan.session import scratch_path  # noqa: E402
 from wingspan.sources import profile as A  # noqa: E402
 from wingspan.sources import raw as RAW  # noqa: E402
 from wingspan.sources import sinks as K  # noqa: E402

@@ -7,8 +7,6 @@ except the duplicate-key check's single offending row.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +21,15 @@ ENRICHED_COLUMNS = [c for c in S.FACT_COLUMNS if c not in ("flight_date", "fligh
                                                             "flight_quarter")]
 
 
-def route_seed(route: DataFrame | None = None):
-    """Integer route key from the raw ids (drives seats and flight numbers)."""
+def route_seed():
+    """Integer route key from the raw ids (drives the seat estimate)."""
     ids = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in
            ("airline_id", "origin_airport_id", "destination_airport_id")]
     return ids[0] * 31 + ids[1] * 17 + ids[2] * 13
 
 
 def number_seed():
+    """A second mix of the raw ids (drives the flight number)."""
     ids = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in
            ("airline_id", "origin_airport_id", "destination_airport_id")]
     return ids[1] * 131 + ids[2] * 7 + ids[0]
@@ -115,7 +114,3 @@ def run(
 def arrivals_from_sample(fact: DataFrame, n: int = 100, as_of=None, seed: int = 17) -> DataFrame:
     """``n`` random existing flights re-dated to ``as_of`` (new arrivals)."""
     return B.override_dates(O.sample_n(fact, n, seed), as_of)
-
-
-def today() -> dt.date:
-    return dt.date.today()
