@@ -101,3 +101,20 @@ def test_add_months_clamp():
 def test_null_tokens(spark):
     vals = [(t,) for t in ["NA", "", "null", "N/A", "ok", None]]
     assert one(spark, X.null_tokens("s"), vals, "s string") == [None, None, None, None, "ok", None]
+
+
+def test_mean_exact_half_up(spark):
+    from decimal import Decimal
+
+    # 1/32 = 0.03125 -> 0.0313 (a tie); 2/3 -> 0.6667; cents to 6 decimals
+    rows = [(1, 0), (0, 0)] + [(0, 0)] * 30
+    df = spark.createDataFrame(rows, "a int, g int")
+    assert df.agg(X.mean("a").alias("m")).collect()[0]["m"] == 0.0313
+    df = spark.createDataFrame([(1,), (1,), (0,)], "a int")
+    assert df.agg(X.mean("a").alias("m")).collect()[0]["m"] == 0.6667
+    df = spark.createDataFrame([(Decimal("0.01"),)] + [(Decimal("0.00"),)] * 31, "d decimal(10,2)")
+    assert df.agg(X.mean("d", *X.DISTANCE_SCALE).alias("m")).collect()[0]["m"] == 0.000313  # 0.0003125 up
+    df = spark.createDataFrame([(-1,), (0,)], "a int")
+    assert df.agg(X.mean("a").alias("m")).collect()[0]["m"] == -0.5
+    df = spark.createDataFrame([(None,)], "a int")
+    assert df.agg(X.mean("a").alias("m")).collect()[0]["m"] is None

@@ -144,9 +144,28 @@ def bytes_to_mb(size) -> Column:
 
 
 # aggregates ------------------------------------------------------------------
-def mean(col, scale: int = 4) -> Column:
-    """Average as double from an exact sum, rounded: order-independent."""
-    return F.round(F.sum(_c(col)).cast("double") / F.count(_c(col)), scale)
+def mean(col, in_scale: int = 0, out_scale: int = 4) -> Column:
+    """Exact average, rounded half away from zero to ``out_scale`` decimals.
+
+    The reference's engine averages ``int`` to 4 decimals and
+    ``decimal(10,2)`` to 6 (input scale + 4). The sum is exact (bigint or
+    decimal), rescaled to an integer count ``u`` of input units (10^-in_scale);
+    with ``m = 10^(out_scale - in_scale)``, ``sign(u) * ((2|u|m + n) div 2n)``
+    is the rounded mean in units of 10^-out_scale, computed in integers, so
+    the result does not depend on row order or floating-point ties. One exact
+    conversion to double at the end.
+    """
+    c = _c(col)
+    n = F.count(c)
+    units = (F.sum(c) * F.lit(10 ** in_scale)).cast("decimal(38,0)")
+    num = F.abs(units) * F.lit(2 * 10 ** (out_scale - in_scale)) + n
+    q = F.call_function("div", num, n * 2)
+    signed = F.when(units < 0, -q).otherwise(q)
+    return signed.cast("double") / F.lit(float(10 ** out_scale))
+
+
+SEATS_SCALE = (0, 4)      # avg(int): 4 decimals
+DISTANCE_SCALE = (2, 6)   # avg(decimal(10,2)): 6 decimals
 
 
 # null tokens -----------------------------------------------------------------

@@ -78,6 +78,7 @@ def _regional_flow_matrix(spark, sf_dir):
 # Operator-level queries
 # ---------------------------------------------------------------------------------
 import datetime as _dt  # noqa: E402
+import hashlib  # noqa: E402
 
 from wingspan import schemas as S  # noqa: E402
 from wingspan.functions import exprs as X  # noqa: E402
@@ -194,7 +195,7 @@ def _agg_sum(spark, sf_dir):
 @register("agg_avg")
 def _agg_avg(spark, sf_dir):
     return plain(fact(spark, sf_dir).groupBy("origin_airport").agg(
-        X.mean("seats").alias("avg_seats"), X.mean("distance_km").alias("avg_distance")))
+        X.mean("seats", *X.SEATS_SCALE).alias("avg_seats"), X.mean("distance_km", *X.DISTANCE_SCALE).alias("avg_distance")))
 
 
 # D5
@@ -333,13 +334,15 @@ def _append_union(spark, sf_dir):
 def _reconcile_equal(spark, sf_dir):
     f = fact(spark, sf_dir)
     left = Q.regional_capacity(f, AS_OF)
-    view = f"flights_{abs(hash(sf_dir)) % 10**8}"
+    view = "flights_" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
     f.createOrReplaceTempView(view)
     cutoff = B.trailing_cutoff(AS_OF, 6).isoformat()
+    u = "CAST(SUM(distance_km) * 100 AS DECIMAL(38,0))"  # exact sum in cents
     right = spark.sql(f"""
         SELECT origin_region, destination_region, COUNT(*) AS route_count,
                CAST(SUM(seats) AS BIGINT) AS total_capacity,
-               ROUND(CAST(SUM(distance_km) AS DOUBLE) / COUNT(distance_km), 4) AS avg_distance,
+               CAST(sign({u}) * ((2 * abs({u}) * 10000 + COUNT(distance_km)) div (2 * COUNT(distance_km)))
+                    AS DOUBLE) / 1000000.0 AS avg_distance,
                CAST(SUM(seats * distance_km) AS DOUBLE) AS capacity_kilometers
         FROM {view} WHERE flight_date >= DATE '{cutoff}'
         GROUP BY origin_region, destination_region""")

@@ -62,7 +62,12 @@ WITH_FLIGHTS = f"WITH {GEO},\n{FLIGHTS}"
 
 
 def mean(col: str) -> str:
-    return f"round(CAST(SUM({col}) AS DOUBLE) / COUNT({col}), 4)"
+    """Exact average, half away from zero: 4 decimals for ints, 6 for distance_km."""
+    in_scale, out_scale = (2, 6) if col == "distance_km" else (0, 4)
+    u = f"CAST(SUM({col}) * {10 ** in_scale} AS HUGEINT)"
+    n = f"COUNT({col})"
+    return (f"CAST(sign({u}) * ((2 * abs({u}) * {10 ** (out_scale - in_scale)} + {n}) // (2 * {n})) AS DOUBLE)"
+            f" / {float(10 ** out_scale)}")
 
 
 SQL: dict[str, str] = {}
