@@ -86,7 +86,7 @@ def test_timed_trigger(spark, workdir):
     drop(spark, feed, "b1", [(7, "x", T1)])
     stream = I.change_stream(spark, feed, spark.createDataFrame([], SCHEMA).schema,
                              options={"recursiveFileLookup": "true"})
-    q = I.start_sync(stream, target, ckpt, interval_seconds=1)
+    q = I.run_continuous(stream, target, ckpt, interval_seconds=1)
     try:
         q.processAllAvailable()
     finally:

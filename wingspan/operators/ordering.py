@@ -37,12 +37,3 @@ def recent_n(df: DataFrame, n: int, ts_col: str, tiebreak: str) -> DataFrame:
 def sample_n(df: DataFrame, n: int, seed: int = 17) -> DataFrame:
     """Exactly ``n`` random rows (all rows if fewer), seeded."""
     return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
-
-
-def band_order(label_col: str, labels: list[str]) -> Column:
-    """Rank of a label in a fixed list; unknown labels last."""
-    expr = None
-    for i, name in enumerate(labels[:-1], start=1):
-        cond = F.col(label_col) == name
-        expr = F.when(cond, i) if expr is None else expr.when(cond, i)
-    return expr.otherwise(len(labels))

@@ -98,15 +98,18 @@ def run(
     routes_path: str,
     out_path: str,
     as_of=None,
+    mode: str = "errorifexists",
 ) -> DataFrame:
-    """Raw files -> enriched fact -> partitioned Parquet at ``out_path``."""
+    """Raw files -> enriched fact -> partitioned Parquet at ``out_path``.
+    For a full refresh that readers may be using, publish with
+    ``sinks.publish_version`` instead of ``mode="overwrite"``."""
     enriched = enrich_routes(
         raw.read_routes(spark, routes_path),
         raw.read_airports(spark, airports_path),
         raw.read_airlines(spark, airlines_path),
     )
     fact = expand_calendar(enriched, as_of)
-    sinks.write_fact_parquet(fact, out_path)
+    sinks.write_fact_parquet(fact, out_path, mode=mode)
     return spark.read.schema(S.FACT).parquet(out_path)
 
 

@@ -84,6 +84,12 @@ def start_sync(
     return writer.start()
 
 
+def run_continuous(changes: DataFrame, target: str, checkpoint: str,
+                   interval_seconds: int = S.SYNC_INTERVAL_SECONDS) -> StreamingQuery:
+    """Keep syncing every ``interval_seconds`` (default 300, as the reference)."""
+    return start_sync(changes, target, checkpoint, interval_seconds=interval_seconds)
+
+
 def sync_once(changes: DataFrame, target: str, checkpoint: str) -> None:
     q = start_sync(changes, target, checkpoint)
     q.awaitTermination()
@@ -186,6 +192,3 @@ def windowed_counts_state(spark: SparkSession, target: str) -> DataFrame:
         "latest",
     )
 
-
-FACT_KEY = ["flight_id"]
-FACT_AUDIT_SCHEMA = S.FACT_WITH_AUDIT
