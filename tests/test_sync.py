@@ -73,11 +73,19 @@ def test_replayed_batch_is_idempotent(spark, workdir):
 def test_compaction_switches_pointer(spark, workdir):
     target = os.path.join(workdir, "target")
     write = I.batch_writer(target)
-    write(spark.createDataFrame([(1, "a", T1)], SCHEMA), 0)
+    write(spark.createDataFrame([(1, "a", T1), (2, "x", T1)], SCHEMA), 0)
     write(spark.createDataFrame([(1, "b", T2)], SCHEMA), 1)
     I.compact(spark, target, ["flight_id"], "updated_at")
+    assert I.compacted_upto(spark, target) == 1
     rows = I.read_compacted(spark, target).collect()
-    assert [(r["flight_id"], r["payload"]) for r in rows] == [(1, "b")]
+    assert sorted((r["flight_id"], r["payload"]) for r in rows) == [(1, "b"), (2, "x")]
+    # later batches are merged over the snapshot; a tie on updated_at goes to the later batch
+    write(spark.createDataFrame([(2, "y", T1), (3, "z", T0)], SCHEMA), 2)
+    assert state(spark, target) == {1: "b", 2: "y", 3: "z"}
+    I.compact(spark, target, ["flight_id"], "updated_at")
+    assert I.compacted_upto(spark, target) == 2
+    write(spark.createDataFrame([(1, "old", T0)], SCHEMA), 3)
+    assert state(spark, target) == {1: "b", 2: "y", 3: "z"}
 
 
 def test_timed_trigger(spark, workdir):

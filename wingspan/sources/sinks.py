@@ -56,9 +56,10 @@ def write_fact_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str
 
 
 # A6 -------------------------------------------------------------------------------------
-def publish_version(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
+def publish_version(df: DataFrame, base: str, partition_by: list[str] | None = None,
+                    suffix: str | None = None) -> str:
     """Full refresh: write ``base/v-<id>`` then point ``base/_current`` at it."""
-    version = f"v-{uuid.uuid4().hex[:12]}"
+    version = f"v-{uuid.uuid4().hex[:12]}" + (f"-{suffix}" if suffix else "")
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -15,6 +15,7 @@ a new version folder and switches a pointer.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,10 +24,11 @@ from pyspark.sql.types import StructType
 from wingspan import schemas as S
 from wingspan.functions.exprs import ts_literal
 from wingspan.operators.windows import latest_per_key
-from wingspan.sources.sinks import publish_version, read_current
+from wingspan.sources.sinks import current_version, publish_version, read_current
 
 CHANGES = "changes"
 METRICS = "metrics"
+COMPACTED = "compacted"
 
 
 def change_stream(
@@ -52,12 +54,17 @@ def batch_writer(target: str):
     """foreachBatch sink: one overwrite folder per batch id, plus a metrics row."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():  # I5: an empty batch writes nothing
-            return
-        folder = f"{target}/{CHANGES}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(folder)
+        # two actions on the batch (emptiness test, write): compute it once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if batch.isEmpty():  # I5: an empty batch writes nothing
+                return
+            folder = f"{target}/{CHANGES}/batch_id={batch_id}"
+            batch.write.mode("overwrite").parquet(folder)
+        finally:
+            batch.unpersist()
         spark = batch.sparkSession
-        rows = spark.read.parquet(folder).count()
+        rows = spark.read.parquet(folder).count()  # from Parquet footers
         spark.createDataFrame([(int(batch_id), int(rows))], "batch bigint, rows bigint").coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{target}/{METRICS}/batch_id={batch_id}")
@@ -105,9 +112,14 @@ def synced_changes(spark: SparkSession, target: str) -> DataFrame:
 def current_state(
     spark: SparkSession, target: str, keys: list[str], updated_at: str, tiebreak: list[str] | None = None
 ) -> DataFrame:
-    """E4 over all batches: latest row per key."""
-    rows = synced_changes(spark, target)
+    """Latest row per key over the compacted snapshot (if any) and the
+    batches written after it; a reader never rescans compacted batches."""
     order = [updated_at, "batch_id", *(tiebreak or [])]
+    upto = compacted_upto(spark, target)
+    rows = synced_changes(spark, target)
+    if upto is not None:
+        snapshot = read_current(spark, f"{target}/{COMPACTED}")
+        rows = snapshot.unionByName(rows.filter(F.col("batch_id") > upto))
     return latest_per_key(rows, keys, order).drop("batch_id")
 
 
@@ -120,15 +132,30 @@ def sync_counters(spark: SparkSession, target: str) -> DataFrame:
     )
 
 
+def compacted_upto(spark: SparkSession, target: str) -> int | None:
+    """Highest batch id folded into the current compacted snapshot."""
+    version = current_version(spark, f"{target}/{COMPACTED}")
+    return int(version.rsplit("-upto-", 1)[1]) if version else None
+
+
 def compact(spark: SparkSession, target: str, keys: list[str], updated_at: str,
             tiebreak: list[str] | None = None) -> str:
-    """Rewrite the current state to a new version folder; switch the pointer."""
-    state = current_state(spark, target, keys, updated_at, tiebreak)
-    return publish_version(state, f"{target}/compacted")
+    """Fold all batches written so far into a new snapshot version (keeping
+    each row's batch id for later ordering) and switch the pointer."""
+    upto = synced_changes(spark, target).agg(F.max("batch_id")).first()[0]
+    if upto is None:
+        raise ValueError("nothing to compact")
+    order = [updated_at, "batch_id", *(tiebreak or [])]
+    rows = synced_changes(spark, target).filter(F.col("batch_id") <= upto)
+    prior = compacted_upto(spark, target)
+    if prior is not None:
+        rows = read_current(spark, f"{target}/{COMPACTED}").unionByName(rows.filter(F.col("batch_id") > prior))
+    state = latest_per_key(rows, keys, order)
+    return publish_version(state, f"{target}/{COMPACTED}", suffix=f"upto-{int(upto)}")
 
 
 def read_compacted(spark: SparkSession, target: str) -> DataFrame:
-    return read_current(spark, f"{target}/compacted")
+    return read_current(spark, f"{target}/{COMPACTED}").drop("batch_id")
 
 
 # I7 --------------------------------------------------------------------------------------
