@@ -28,13 +28,12 @@ import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from wingspan import schemas as S
 from wingspan.functions import exprs as X
 from wingspan.operators.joins import bounded_broadcast
 from wingspan.session import shared_dir
-from wingspan.sources.sinks import write_fact_parquet
+from wingspan.sources.sinks import current_version, publish_version, write_fact_parquet
 
 DIMENSION_ROWS = 10_000
 
@@ -144,14 +143,6 @@ def _stat(spark: SparkSession, path: str) -> str:
     return f"{summary.getLength()}:{summary.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}"
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except AnalysisException:
-        return False
-
-
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     """Read a partitioned fact with its declared schema (no inference job)."""
     return spark.read.schema(S.FACT).parquet(path)
@@ -160,14 +151,18 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The materialised fact for ``sf_dir``, built on first use.
 
-    The DataFrame is kept per session, so its file index (the listing of the
-    month folders) is built once, as a catalog table would be."""
+    Built as a published version (new folder, then a pointer switch), so a
+    build that dies midway leaves the pointer untouched and the next call
+    simply builds again. The DataFrame is kept per session, so its file index
+    (the listing of the month folders) is built once, as a catalog table's."""
     key = (spark.sparkContext.applicationId, sf_dir)
     frame = _FRAMES.get(key)
     if frame is None:
-        path = f"{shared_dir(spark)}/wingspan-tables/flights-{_inputs_key(spark, sf_dir)}"
-        if not _complete(spark, path):
-            write_fact_parquet(flights_frame(spark, sf_dir), path)
+        base = f"{shared_dir(spark)}/wingspan-tables/flights-{_inputs_key(spark, sf_dir)}"
+        version = current_version(spark, base)
+        if version is None:
+            version = publish_version(flights_frame(spark, sf_dir), base, write=write_fact_parquet)
+        path = f"{base}/{version}"
         _MATERIALISED[key] = path
         frame = _FRAMES[key] = read_fact(spark, path)
     return frame

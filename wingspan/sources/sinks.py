@@ -57,13 +57,19 @@ def write_fact_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str
 
 # A6 -------------------------------------------------------------------------------------
 def publish_version(df: DataFrame, base: str, partition_by: list[str] | None = None,
-                    suffix: str | None = None) -> str:
-    """Full refresh: write ``base/v-<id>`` then point ``base/_current`` at it."""
+                    suffix: str | None = None, write=None) -> str:
+    """Full refresh: write ``base/v-<id>`` then point ``base/_current`` at it.
+
+    A failed write leaves only an orphan version folder; readers keep the
+    previous version. ``write(df, path)`` replaces the plain Parquet writer."""
     version = f"v-{uuid.uuid4().hex[:12]}" + (f"-{suffix}" if suffix else "")
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{base}/{version}")
+    if write is not None:
+        write(df, f"{base}/{version}")
+    else:
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(f"{base}/{version}")
     spark = df.sparkSession
     spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(
         f"{base}/{POINTER}"
