@@ -119,3 +119,14 @@ def test_sql_text_equals_dataframe(spark):
         assert G.compare(api_df, sql_df).collect()[0]["equal"], key
     with pytest.raises(KeyError):
         Q.get_query_sql("hub_concentration", "t")
+
+
+def test_underserved_compares_rounded_average(spark):
+    base = dict(flight_date=dt.date(2024, 2, 1))
+    # 19,999 x 150 + 1 x 149: mean 149.99995 -> 150.0000 after rounding: not kept
+    rows = [dict(base, origin_airport="T", seats=150) for _ in range(19999)] + [dict(base, origin_airport="T", seats=149)]
+    # 19,998 x 150 + 2 x 149: mean 149.9999: kept
+    rows += [dict(base, origin_airport="K", seats=150) for _ in range(19998)]
+    rows += [dict(base, origin_airport="K", seats=149) for _ in range(2)]
+    out = {r["origin_airport"]: r["avg_seats"] for r in Q.underserved_routes(fact(spark, rows), AS_OF).collect()}
+    assert out == {"K": 149.9999}

@@ -107,7 +107,7 @@ SELECT origin_airport, destination_airport, CAST(distance_km AS DOUBLE) AS dista
 FROM flights
 WHERE flight_date >= {cutoff(3)}
 GROUP BY origin_airport, destination_airport, flights.distance_km
-HAVING COUNT(*) < 5 OR AVG(seats) < 150
+HAVING COUNT(*) < 5 OR {mean('seats')} < 150
 ORDER BY flights.distance_km DESC, origin_airport, destination_airport
 LIMIT 50"""
 
@@ -242,7 +242,7 @@ SELECT origin_airport, destination_airport, CAST(distance_km AS DOUBLE) AS dista
        CAST(SUM(seats) AS BIGINT) AS monthly_capacity
 FROM flights WHERE flight_date >= {cutoff(3)}
 GROUP BY origin_airport, destination_airport, flights.distance_km
-HAVING COUNT(*) < 5 OR AVG(seats) < 150"""
+HAVING COUNT(*) < 5 OR {mean('seats')} < 150"""
 
 SQL["project_alias"] = f"""{WITH_FLIGHTS}
 SELECT origin_airport AS hub, origin_city AS hub_city, CAST(seats AS BIGINT) AS capacity,
