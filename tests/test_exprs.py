@@ -54,8 +54,9 @@ def test_flight_number(spark):
 
 
 def test_first_token(spark):
-    out = one(spark, X.first_token("e"), [(None,), ("",), ("   ",), ("738",), ("320 738 77W",)], "e string")
-    assert out == ["Unknown", "Unknown", "Unknown", "738", "320"]
+    vals = [(None,), ("",), ("   ",), ("738",), ("320 738 77W",), ("\t738 320",), (" \t ",), ("738\n",)]
+    out = one(spark, X.first_token("e"), vals, "e string")
+    assert out == ["Unknown", "Unknown", "Unknown", "738", "320", "738", "Unknown", "738"]
 
 
 def test_flag_and_default(spark):

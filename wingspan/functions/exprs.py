@@ -111,7 +111,10 @@ def flight_number(airline_code, seed) -> Column:
 
 # H8 ------------------------------------------------------------------------
 def first_token(text, default: str = "Unknown") -> Column:
-    tokens = F.split(F.nullif(F.trim(_c(text)), F.lit("")), r"\s+")
+    """First whitespace-separated token (tabs count as whitespace); null or
+    blank gives ``default``."""
+    stripped = F.regexp_replace(_c(text), r"^\s+", "")
+    tokens = F.split(F.nullif(stripped, F.lit("")), r"\s+")
     return F.coalesce(F.get(tokens, 0), F.lit(default))
 
 

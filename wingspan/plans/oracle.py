@@ -427,7 +427,8 @@ def _seats(dist: str) -> str:
             f" ELSE 250 + {_pmod(_SEED, 301)} END AS BIGINT)")
 
 
-_FIRST_TOKEN = "COALESCE(string_split_regex(NULLIF(trim(equipment), ''), '\\s+')[1], 'Unknown')"
+_FIRST_TOKEN = ("COALESCE(string_split_regex(NULLIF(regexp_replace(equipment, '^\\s+', ''), ''), '\\s+')[1],"
+                " 'Unknown')")
 _AIRCRAFT = ", ".join(f"('{k}', {v})" for k, v in __import__("wingspan.schemas", fromlist=["x"]).AIRCRAFT_SEAT_MAPPING.items())
 
 SQL["seat_estimate"] = f"""{_MATCHED}
