@@ -8,14 +8,29 @@ integers as bigint, decimals as double, dates and timestamps as ISO text.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wingspan import schemas as S
+from wingspan.functions import exprs as X
+from wingspan.operators import enrich as C
+from wingspan.operators import filters as B
+from wingspan.operators import ordering as O
+from wingspan.operators import reconcile as G
+from wingspan.operators import windows as W
 from wingspan.plans import catalog as Q
-from wingspan.plans.fixture import flights, table
+from wingspan.plans import pipelines as P
+from wingspan.plans import raw_fixture as R
+from wingspan.plans.fixture import fact_path, flights, table
+from wingspan.session import scratch_path
+from wingspan.sources import profile as A
+from wingspan.sources import raw as RAW
+from wingspan.sources import sinks as K
+from wingspan.streaming import sync as I
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -77,26 +92,8 @@ def _regional_flow_matrix(spark, sf_dir):
 # ---------------------------------------------------------------------------------
 # Operator-level queries
 # ---------------------------------------------------------------------------------
-import datetime as _dt  # noqa: E402
-import hashlib  # noqa: E402
-
-from wingspan import schemas as S  # noqa: E402
-from wingspan.functions import exprs as X  # noqa: E402
-from wingspan.operators import enrich as C  # noqa: E402
-from wingspan.operators import filters as B  # noqa: E402
-from wingspan.operators import ordering as O  # noqa: E402
-from wingspan.operators import reconcile as G  # noqa: E402
-from wingspan.operators import windows as W  # noqa: E402
-from wingspan.plans import pipelines as P  # noqa: E402
-from wingspan.plans import raw_fixture as R  # noqa: E402
-from wingspan.session import scratch_path  # noqa: E402
-from wingspan.sources import profile as A  # noqa: E402
-from wingspan.sources import raw as RAW  # noqa: E402
-from wingspan.sources import sinks as K  # noqa: E402
-from wingspan.streaming import sync as I  # noqa: E402
-
-CHANGE_MARK = _dt.datetime(2024, 1, 15, 0, 0, 0)
-CHANGE_AS_OF = _dt.datetime(2024, 1, 20, 12, 0, 0)
+CHANGE_MARK = dt.datetime(2024, 1, 15, 0, 0, 0)
+CHANGE_AS_OF = dt.datetime(2024, 1, 20, 12, 0, 0)
 
 
 def events(spark, sf_dir):
@@ -373,16 +370,17 @@ def _validate_count(spark, sf_dir):
     return plain(G.validate_count(fact(spark, sf_dir), table(spark, sf_dir, "lineitem")))
 
 
+def _airports_ok(airports):
+    """A1's filter: a code and type ``airport``."""
+    return B.not_null_and_equal(airports, "iata_code", "type", "airport")
+
+
 def _matched_routes(spark, sf_dir):
     airports, _, routes = R.raw_frames(spark, sf_dir)
-    ok = RAW_FILTER(airports)
+    ok = _airports_ok(airports)
     return C.join_destination(C.join_origin(routes, ok), ok)
 
 
-def RAW_FILTER(airports):
-    return B.not_null_and_equal(airports, "iata_code", "type", "airport")
-
-
 # H1
 @register("haversine_pairs")
 def _haversine_pairs(spark, sf_dir):
@@ -490,7 +488,7 @@ def _size_mb(spark, sf_dir):
 @register("origin_join")
 def _origin_join(spark, sf_dir):
     airports, _, routes = R.raw_frames(spark, sf_dir)
-    j = C.join_origin(routes, RAW_FILTER(airports))
+    j = C.join_origin(routes, _airports_ok(airports))
     return plain(j.select("airline_code", "origin_airport", "destination_airport", "o_city", "o_country",
                           "o_latitude", "o_longitude"))
 
@@ -499,7 +497,7 @@ def _origin_join(spark, sf_dir):
 @register("destination_join")
 def _destination_join(spark, sf_dir):
     airports, _, routes = R.raw_frames(spark, sf_dir)
-    j = C.join_destination(routes, RAW_FILTER(airports))
+    j = C.join_destination(routes, _airports_ok(airports))
     return plain(j.select("airline_code", "origin_airport", "destination_airport", "d_city", "d_country",
                           "d_latitude", "d_longitude"))
 
@@ -517,7 +515,7 @@ def _airline_left_default(spark, sf_dir):
 @register("unmatched_audit")
 def _unmatched_audit(spark, sf_dir):
     airports, _, routes = R.raw_frames(spark, sf_dir)
-    missed = C.unmatched_routes(routes, RAW_FILTER(airports))
+    missed = C.unmatched_routes(routes, _airports_ok(airports))
     return plain(missed.agg(F.count(F.lit(1)).alias("unmatched_routes")))
 
 
@@ -676,11 +674,7 @@ def _sync_counters(spark, sf_dir):
 # A11
 @register("table_profile")
 def _table_profile(spark, sf_dir):
-    fact(spark, sf_dir)
-    from wingspan.plans.fixture import _MATERIALISED
-
-    path = _MATERIALISED[(spark.sparkContext.applicationId, sf_dir)]
-    return A.table_profile(spark, path, "parquet", layout="columnar", schema=S.FACT)
+    return A.table_profile(spark, fact_path(spark, sf_dir), "parquet", layout="columnar", schema=S.FACT)
 
 
 # A12

@@ -166,3 +166,9 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         _MATERIALISED[key] = path
         frame = _FRAMES[key] = read_fact(spark, path)
     return frame
+
+
+def fact_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the materialised fact for ``sf_dir`` (built if needed)."""
+    flights(spark, sf_dir)
+    return _MATERIALISED[(spark.sparkContext.applicationId, sf_dir)]
