@@ -43,3 +43,21 @@ def test_dimensions_are_broadcast(spark):
 def test_partial_aggregation(fact):
     p = plan(Q.regional_capacity(fact, dt.date(2001, 8, 1)))
     assert p.count("HashAggregate") >= 2  # partial (map-side) + final
+
+
+def test_fact_build_plan_at_scale(spark):
+    """With size-based broadcast off (as 100 TB inputs would be), the large
+    joins shuffle (sort-merge) and only the bounded geography is broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        p = plan(flights_frame(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    assert p.count("SortMergeJoin") == 4  # lineitem-orders, orders-customer, supplier, part
+    broadcasts = [ln for ln in p.split("\n") if "BroadcastExchange" in ln and "ReusedExchange" not in ln]
+    assert 1 <= len(broadcasts) <= 2 and "ReusedExchange" in p  # geography (+ region), reused for both sides
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
