@@ -153,3 +153,15 @@ def test_windowed_counts_late_data(spark, workdir):
     # older than the watermark: dropped, the window keeps its value
     drop(spark, feed, "b3", [(6, "f", t(10, 0, 40))])
     assert once()[(10, 0)] == 3
+
+
+def test_paced_backfill(spark, workdir):
+    feed, target, ckpt = (os.path.join(workdir, x) for x in ("feed", "target", "ckpt"))
+    os.makedirs(feed)
+    for i in range(3):
+        drop(spark, feed, f"b{i}", [(i, f"p{i}", T1)])
+    stream = I.change_stream(spark, feed, spark.createDataFrame([], SCHEMA).schema, max_files_per_trigger=1,
+                             options={"recursiveFileLookup": "true"})
+    I.sync_once(stream, target, ckpt)
+    assert counters(spark, target) == (3, 3)  # one file per micro-batch
+    assert state(spark, target) == {0: "p0", 1: "p1", 2: "p2"}
