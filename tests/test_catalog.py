@@ -130,3 +130,13 @@ def test_underserved_compares_rounded_average(spark):
     rows += [dict(base, origin_airport="K", seats=149) for _ in range(2)]
     out = {r["origin_airport"]: r["avg_seats"] for r in Q.underserved_routes(fact(spark, rows), AS_OF).collect()}
     assert out == {"K": 149.9999}
+
+
+def test_flow_matrix_discovers_regions(spark):
+    rows = [dict(origin_region="X", destination_region="Y", seats=7), dict(origin_region="Y", destination_region="Z", seats=3)]
+    out = Q.regional_flow_matrix(fact(spark, rows), AS_OF)
+    assert out.columns == ["origin_region", "Y", "Z"]
+    got = {r["origin_region"]: (r["Y"], r["Z"]) for r in out.collect()}
+    assert got == {"X": (7, 0), "Y": (0, 3)}
+    fixed = Q.regional_flow_matrix(fact(spark, rows), AS_OF, regions=["Y", "Z", "W"])
+    assert fixed.columns == ["origin_region", "Y", "Z", "W"]
