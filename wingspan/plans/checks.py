@@ -358,6 +358,14 @@ def _reconcile_diff(spark, sf_dir):
     return plain(G.compare(left, right, tolerance=0.001))
 
 
+# G2 as the reference uses it: every core query on two copies of the fact
+@register("layouts_agree")
+def _layouts_agree(spark, sf_dir):
+    path = scratch_path(spark, "row-copy")
+    K.write_fact_csv(fact(spark, sf_dir), path)
+    return plain(Q.compare_copies(fact(spark, sf_dir), RAW.read_fact_csv(spark, path), AS_OF))
+
+
 # G3
 @register("sync_check")
 def _sync_check(spark, sf_dir):

