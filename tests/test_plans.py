@@ -61,3 +61,12 @@ def test_fact_build_plan_at_scale(spark):
     broadcasts = [ln for ln in p.split("\n") if "BroadcastExchange" in ln and "ReusedExchange" not in ln]
     assert 1 <= len(broadcasts) <= 2 and "ReusedExchange" in p  # geography (+ region), reused for both sides
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_bounded_broadcast_bound(spark):
+    from wingspan.operators.joins import bounded_broadcast
+
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert "broadcast" in bounded_broadcast(small, max_rows=10)._jdf.queryExecution().analyzed().toString().lower()
+    assert bounded_broadcast(big, max_rows=10) is big

@@ -31,12 +31,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_RO
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows
     (default: as many as fit ``max_bytes`` at the schema's row width).
 
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame
-    is returned unhinted, so Catalyst plans a shuffle (sort-merge) join and
-    AQE may still demote it to a broadcast at runtime from real sizes.
+    The probe is a one-column ``limit(n + 1)`` collected with Spark's
+    incremental take: it scans one partition first and widens only while it
+    has seen at most n rows, so a large side costs a partition or two, not a
+    full scan (``limit().count()`` would schedule every partition). Beyond
+    the bound the frame is returned unhinted, so Catalyst plans a shuffle
+    (sort-merge) join and AQE may still demote it to a broadcast at runtime
+    from real sizes.
     """
     limit = max_rows if max_rows is not None else max(1, max_bytes // row_width(df.schema))
-    n = df.limit(limit + 1).count()
+    n = len(df.select(F.lit(True).alias("x")).limit(limit + 1).collect())
     return F.broadcast(df) if n <= limit else df
 
 
