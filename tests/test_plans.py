@@ -38,6 +38,9 @@ def test_dimensions_are_broadcast(spark):
     p = plan(flights_frame(spark, SF_SMALL))
     assert "BroadcastHashJoin" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    # lineitem is the left side of every join in the build: no BuildLeft means
+    # it is always the streamed side, never the broadcast one
+    assert "BuildLeft" not in p
 
 
 def test_partial_aggregation(fact):
@@ -45,9 +48,12 @@ def test_partial_aggregation(fact):
     assert p.count("HashAggregate") >= 2  # partial (map-side) + final
 
 
-def test_fact_build_plan_at_scale(spark):
-    """With size-based broadcast off (as 100 TB inputs would be), the large
-    joins shuffle (sort-merge) and only the bounded geography is broadcast."""
+def test_fact_build_plan_at_scale(spark, monkeypatch):
+    """With lookups too large to broadcast (as at 100 TB), the large joins
+    shuffle (sort-merge) and only the bounded geography is broadcast."""
+    from wingspan.plans import fixture
+
+    monkeypatch.setattr(fixture, "LOOKUP_BROADCAST_BYTES", 0)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
     try:

@@ -11,10 +11,12 @@ One fact row per ``lineitem`` row:
 
 At scale ``lineitem`` is the only large input. The plan joins ``orders`` to
 ``customer`` first (orders-sized), then ``lineitem`` to that on the order key,
-then to ``supplier`` and ``part``; Catalyst picks broadcast or sort-merge from
-size statistics, AQE re-plans from real sizes and splits skewed partitions.
-Nation and region are dimension tables (25 and 5 rows by definition) and are
-broadcast behind a row-count check.
+then to ``supplier`` and ``part``. Each lookup side is broadcast only if a
+probe proves it fits ``LOOKUP_BROADCAST_BYTES``; otherwise the join is a
+shuffle (sort-merge) join, re-planned by AQE from real sizes, with skewed
+partitions split. ``lineitem`` itself is always the streamed side. Nation and
+region are dimension tables (25 and 5 rows by definition), broadcast behind
+the same check.
 
 The fact is materialised once per input set as Parquet partitioned by
 (flight_year, flight_month) below the shared folder; named queries read it
@@ -36,6 +38,9 @@ from wingspan.session import shared_dir
 from wingspan.sources.sinks import current_version, publish_version, write_fact_parquet
 
 DIMENSION_ROWS = 10_000
+# Byte budget for broadcasting a lookup side of the fact build (orders x
+# customer, supplier, part); beyond it the side is shuffled (sort-merge).
+LOOKUP_BROADCAST_BYTES = 64 * 1024 * 1024
 
 _MATERIALISED: dict[tuple[str, str], str] = {}
 _FRAMES: dict[tuple[str, str], DataFrame] = {}
@@ -81,10 +86,11 @@ def flights_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     dest = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_nationkey"
     )
+    budget = LOOKUP_BROADCAST_BYTES
     j = (
-        li.join(dest, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        li.join(bounded_broadcast(dest, max_bytes=budget), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(bounded_broadcast(supplier, max_bytes=budget), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(bounded_broadcast(part, max_bytes=budget), F.col("l_partkey") == F.col("p_partkey"))
         .join(og, F.col("s_nationkey") == F.col("o_nk"))
         .join(dg, F.col("c_nationkey") == F.col("d_nk"))
     )
