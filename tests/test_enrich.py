@@ -115,3 +115,33 @@ def test_region_lookup_first_wins(spark):
     lk = C.region_lookup_frame(spark, {"R1": ["AA", "BB"], "R2": ["BB", "CC"]})
     got = {r["country"]: r["region"] for r in lk.collect()}
     assert got == {"AA": "R1", "BB": "R1", "CC": "R2"}
+
+
+def test_keep_first_follows_file_order(spark, workdir):
+    # id order and file order disagree: the first active row in the file wins
+    lines = ['20,Later Id First In File,\\N,XC,A20,\\N,US,Y', '15,Earlier Id,\\N,XC,A15,\\N,US,Y',
+             '30,Inactive,\\N,XD,A30,\\N,US,N', '31,Only Active,\\N,XD,A31,\\N,US,Y']
+    al = write(workdir, "airlines_order", lines)
+    got = {r["iata_code"]: r["airline_id"] for r in C.dedupe_airlines(raw.read_airlines(spark, al)).collect()}
+    assert got == {"XC": 20, "XD": 31}
+    by_id = {r["iata_code"]: r["airline_id"] for r in
+             C.dedupe_airlines(raw.read_airlines(spark, al, file_order=False)).collect()}
+    assert by_id == {"XC": 15, "XD": 31}
+
+
+def test_file_order_across_splits(spark, workdir):
+    # a file read in several splits: the ordinal still follows the file
+    path = os.path.join(workdir, "many")
+    os.makedirs(path)
+    with open(os.path.join(path, "part-0.csv"), "w") as fh:
+        for i in range(20000):
+            fh.write(f"{100000 - i},Air {i},\\N,C{i % 7},X,\\N,US,Y\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        df = raw.read_airlines(spark, path)
+        assert df.rdd.getNumPartitions() > 3
+        got = {r["iata_code"]: r["airline_id"] for r in C.dedupe_airlines(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"C{k}": 100000 - k for k in range(7)}  # first line of each code in the file

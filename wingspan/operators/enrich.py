@@ -29,8 +29,12 @@ def assert_unique(df: DataFrame, key: str, what: str) -> None:
 
 
 # E1 ---------------------------------------------------------------------------------
-def dedupe_airlines(airlines: DataFrame, ordinal: str = "airline_id") -> DataFrame:
-    """First airline per IATA code in file order (``ordinal``) among the given rows."""
+def dedupe_airlines(airlines: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """First airline per IATA code among the given rows: by file position when
+    the frame carries ``file_order`` (see ``sources.raw.with_file_order``),
+    else by ``airline_id``, or by the ``ordinal`` column given."""
+    if ordinal is None:
+        ordinal = "file_order" if "file_order" in airlines.columns else "airline_id"
     return keep_first(airlines, "iata_code", [ordinal])
 
 

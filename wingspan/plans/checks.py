@@ -548,7 +548,9 @@ def _raw_round_trip(spark, sf_dir):
     base = scratch_path(spark, "raw")
     airports, airlines, routes = R.raw_frames(spark, sf_dir)
     RAW.write_raw(airports, f"{base}/airports")
-    RAW.write_raw(airlines, f"{base}/airlines")
+    # staged in id order (range-partitioned, part files in key order), as the
+    # reference's airline file is; keep-first then follows file order
+    RAW.write_raw(airlines.orderBy("airline_id"), f"{base}/airlines")
     RAW.write_raw(routes, f"{base}/routes")
     return base
 

@@ -52,9 +52,31 @@ def read_airports(spark: SparkSession, path: str, keep_all: bool = False) -> Dat
     return df.filter(F.col("iata_code").isNotNull() & (F.col("type") == "airport"))
 
 
+FILE_ORDER = "file_order"
+
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Add ``file_order``: the row's position in its files, exact under any
+    split. Computed on the scan itself: (file name, start of the split, row id)
+    - rows of one split keep file order and share a partition, whatever order
+    Spark packs splits into partitions."""
+    return df.withColumn(
+        FILE_ORDER,
+        F.struct(
+            F.input_file_name().alias("file"),
+            F.input_file_block_start().alias("offset"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+    )
+
+
 # A2 -------------------------------------------------------------------------------
-def read_airlines(spark: SparkSession, path: str, keep_all: bool = False) -> DataFrame:
+def read_airlines(spark: SparkSession, path: str, keep_all: bool = False, file_order: bool = True) -> DataFrame:
+    """Airlines (active ones unless ``keep_all``); with ``file_order`` a
+    ``file_order`` column keeps each row's position for keep-first (E1)."""
     df = read_raw(spark, path, S.AIRLINES)
+    if file_order:
+        df = with_file_order(df)
     return df if keep_all else df.filter(F.col("active") == "Y")
 
 
