@@ -11,7 +11,8 @@ from conftest import SF_SMALL
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 SAMPLE = ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity_trends", "distance_analysis",
           "hub_concentration", "regional_flow_matrix", "enrich_routes", "dedupe_first", "latest_per_key",
-          "sort_desc", "reconcile_diff", "month_range", "sync_current_state", "fact_roundtrip_csv"]
+          "sort_desc", "reconcile_diff", "month_range", "sync_current_state", "fact_roundtrip_csv",
+          "hub_concentration_all", "layouts_agree", "change_window_stream"]
 
 
 def test_entry(spark):
