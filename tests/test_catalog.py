@@ -111,14 +111,15 @@ def test_sql_text_equals_dataframe(spark):
     f = flights(spark, SF_SMALL)
     f.createOrReplaceTempView("flights_sql_text")
     as_of = dt.date(2001, 8, 1)
-    for key in ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity_trends", "distance_analysis"]:
+    for key in ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity_trends", "distance_analysis",
+                "hub_concentration", "capacity_trend_series", "month_over_month"]:
         sql_df = spark.sql(Q.get_query_sql(key, "flights_sql_text", as_of))
         api_df = Q.run(key, f, as_of)
         sql_df = sql_df.select(*[sql_df[c].cast(api_df.schema[c].dataType).alias(c) for c in api_df.columns])
         assert sql_df.collect() == api_df.collect(), key  # same rows in the same order
         assert G.compare(api_df, sql_df).collect()[0]["equal"], key
     with pytest.raises(KeyError):
-        Q.get_query_sql("hub_concentration", "t")
+        Q.get_query_sql("regional_flow_matrix", "t")
 
 
 def test_underserved_compares_rounded_average(spark):
