@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wingspan.llm import simhash_dedup
+from wingspan.llm import bpe_transducer, language_id, packing, quality_rules, simhash_dedup, substring_dedup
 from wingspan.llm.common import table
 
 
@@ -15,11 +17,41 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), unit="line", min_words=5)
+    spans = F.coalesce("spans", F.array())
+    return found.select(
+        "doc_id", "text", "n_units", F.size(spans).cast("long").alias("n_removed"),
+        F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("removed"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup,
+        op4_bpe_transducer,
+        op6_quality_rules,
+        op7_language_id,
+        op8_substring_dedup,
+        op9_packing,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_substring_dedup": substring_dedup.SQL}

@@ -206,8 +206,9 @@ def near_duplicates(
     member_of = components(links(distinct.select("fp"), max_bits, bands, shard_rows))
     tied = distinct.join(member_of, distinct["fp"] == member_of["node"]).select("fp", "low", "root")
     lows = tied.groupBy("root").agg(F.min("low").alias("component_id"))
-    small = cut(tied.join(lows, "root").select("fp", "component_id"))
-    of_print = distinct.join(small, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    small = tied.join(lows, "root").select("fp", "component_id")
+    # written out, so that the last join stands right on two shuffles and Spark can split a fingerprint of many rows
+    of_print = cut(distinct.join(small, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
