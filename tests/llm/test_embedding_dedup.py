@@ -1,0 +1,88 @@
+"""Embedding near-dedup against brute force."""
+
+import math
+
+import numpy as np
+import pytest
+
+from wingspan.llm import embedding_dedup as D
+from wingspan.llm.common import table
+
+
+def brute(rows, threshold=0.98):
+    """(vec_id, n_links, component, kept) for rows (vec_id, embedding, label)."""
+    fine = lambda v: bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    n = len(rows)
+    parent, links = list(range(n)), [0] * n
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    groups = {}
+    for i, (_, v, label) in enumerate(rows):
+        if label is not None and fine(v):
+            groups.setdefault((label, len(v)), []).append(i)
+    for own in groups.values():
+        x = np.array([rows[i][1] for i in own], float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for a, sims in enumerate(x @ x.T):
+            for b in np.flatnonzero(sims >= threshold).tolist():
+                if a != b:
+                    links[own[a]] += 1
+                    parent[max(top(own[a]), top(own[b]))] = min(top(own[a]), top(own[b]))
+    low = {}
+    for i, (d, _, _) in enumerate(rows):
+        if d is not None:
+            low[top(i)] = min(low.get(top(i), d), d)
+    return sorted(((d, links[i], low.get(top(i)), d == low.get(top(i))) for i, (d, _, _) in enumerate(rows)), key=str)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_table(spark, sf):
+    vectors = table(spark, f"/root/testdata/{sf}", "embeddings")
+    assert rows_of(D.near_duplicates(vectors)) == brute([(r.vec_id, r.embedding, r.label) for r in vectors.collect()])
+
+
+def cloud(seed, n, near, dim=16):
+    """n scattered vectors and a crowd of ``near`` close ones."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    c = rng.normal(size=dim)
+    y = c + rng.normal(size=(near, dim)) * np.linalg.norm(c) * 0.02
+    z = x[: n // 4] * (1 + rng.normal(size=(n // 4, dim)) * 0.05)
+    return np.vstack([x, y, z]).astype("f4").astype(float).tolist()
+
+
+def test_small_shards_and_a_crowd(spark):
+    rows = [(i, v, "a") for i, v in enumerate(cloud(1, 500, 300))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got, want = rows_of(D.near_duplicates(vectors, shard_rows=100)), brute(rows)
+    assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want) > 0
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))  # no link below the threshold
+    assert [g[2] for g in got] == [w[2] for w in want]
+
+
+def test_recall_is_audited(spark):
+    rows = [(i, v, "a") for i, v in enumerate(cloud(2, 400, 0))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    classes = D.classes_of(vectors).cache()
+    nothing = spark.createDataFrame([], "node long, links long")
+    assert D.audit_recall(classes, nothing, 0.98, 10_000) == 0.0
+    with pytest.raises(RuntimeError):
+        D.near_duplicates(vectors, audit_rows=10_000, least_recall=1.01)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [1.0, 0.0], None),
+            (8, [1.0, 0.0], 1), (9, [2.0, 0.0], 1), (10, [1.0, 0.0], 2), (11, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.01], 1), (8, [1.0, 0.0], 1),
+            (12, [-1.0, 0.0], 1), (None, [5.0, 5.0], 3), (None, [5.0, 5.0], 3), (13, [0.0, -0.0, 1.0], 1), (14, [-0.0, 0.0, 1.0], 1), (12, [0.0, 1.0], 1)]
+    vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links int, node string")
+    assert rows_of(D.near_duplicates(vectors)) == brute(rows)
+    assert D.near_duplicates(vectors.limit(0)).collect() == []

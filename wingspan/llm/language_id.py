@@ -193,11 +193,21 @@ def fit(
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        passed = batch.schema.names[:-1]
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
             lang, score = zip(*map(model.predict, part.column(part.num_columns - 1).to_pylist()), strict=True)
-            out = [*part.columns[:-1], pa.array(lang), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(out, [*part.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang), pa.array(score)], [*passed, "lang_pred", "score"])
+
+
+def _sure(batches: Iterator[pa.RecordBatch], model: Model, least_score: float) -> Iterator[pa.RecordBatch]:
+    at = None
+    for batch in batches:
+        at = batch.schema.get_field_index("text") if at is None else at
+        for begin in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(begin, SLICE_ROWS)
+            told = map(model.predict, part.column(at).to_pylist())
+            yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in told], pa.bool_()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -215,3 +225,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang), learned from those not held out."""
     model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def sure_documents(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose language the model tells with at least this probability, with all their columns."""
+    model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    return docs.mapInArrow(partial(_sure, model=model, least_score=least_score), docs.schema)

@@ -1,13 +1,12 @@
 """Quality rules: counted signals, and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Words are split at white space (space, \\x09-\\x0D). Their 1- and 2-grams (A-Z and a-z alike) are hashed into
-``buckets``. Two multinomials over the buckets are estimated from whole counts with add-``smooth`` smoothing: the raw
+Words are split at white space (space, \\x09-\\x0D). Their 1- and 2-grams are hashed into ``buckets``. Two multinomials over the buckets are estimated from whole counts with add-``smooth`` smoothing: the raw
 corpus (all rows) and the trusted target (rows whose doc_id is labelled good). A document's score is the mean over its
 n-grams of log(p_target / p_raw), so it doesn't grow with length; documents with a score under ``threshold`` are not
 kept, each by the same comparison, none drawn at random. Counts are exact whole numbers, so a score does not depend on
 how rows are dealt out.
 
-The counting rules need no shuffle: each row's windows of eight words are compared by their 64-bit hashes within the row.
+The counting rules need no shuffle: each row's windows of eight words are compared, by 64-bit hashes of their words' 64-bit hashes, within the row.
 
 Cases: a null or empty text has no words, no symbols and no lines with words; it fails the base rules (under 20 words)
 and its score is 0. A null doc_id is never trusted. Repeated rows count and are judged each. A doc_id labelled good
@@ -17,90 +16,121 @@ left out of the result, so their names can't clash. An empty table gives no rows
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
 _SPACE = r"[\x20\x09-\x0D]"
+_SYMBOLS = r"[#*$%&|<>]"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _split_words(text: Column) -> Column:
-    bare = F.btrim(text, F.lit(_BLANKS))
-    return F.when(F.length(bare) > 0, F.split(bare, _SPACE + "+")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(text, _SPACE + "+"), "")
+
+
+def _word_hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _buckets_of(words: str, buckets: int) -> Column:
-    """The buckets of the 1- and 2-grams of lower-cased words."""
-    ones = F.transform(words, lambda w: F.xxhash64(w))
-    twos = F.expr(
-        f"CASE WHEN size({words}) > 1 THEN transform(sequence(0, size({words}) - 2), i -> xxhash64({words}[i], {words}[i + 1])) "
-        "ELSE array() END"
+def _joined(hashes: str, apart: int) -> Column:
+    """The hash of each element with the one ``apart`` places on: so of twice as many words."""
+    n = f"size({hashes}) - {apart}"
+    return F.expr(
+        f"CASE WHEN {n} > 0 THEN zip_with(slice({hashes}, 1, {n}), slice({hashes}, {apart + 1}, {n}), (a, b) -> xxhash64(a, b)) "
+        "ELSE cast(array() AS array<bigint>) END"
     )
-    return F.transform(F.concat(ones, twos), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+
+
+def _repeats(hashes: str) -> Column:
+    return F.size(hashes) - F.size(F.array_distinct(hashes))
 
 
 def signals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for every row."""
+    """(row, doc_id, ones, twos, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for every row.
+
+    row: the row as it was; ones, twos: hashes of its words and of its pairs of words, in order.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("words", _split_words(F.col("text")))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0))
-    rows = rows.withColumn(
-        "windows",
-        F.expr(f"CASE WHEN size(words) > {WINDOW} THEN transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))) END"),
-    )
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANKS))) > 0)
     long = lambda c: c.cast("long")
     rows = rows.select(
-        "doc_id", "text",
+        "row", "doc_id", _word_hashes("words").alias("ones"), lines.alias("lines"),
         long(F.size("words")).alias("n_words"),
         long(F.length(F.array_join("words", ""))).alias("word_chars"),
-        long(F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).alias("n_symbols"),
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).alias("windows"),
+        F.when(F.col("text").rlike(_SYMBOLS), long(F.size(F.split("text", _SYMBOLS)) - 1)).otherwise(F.lit(0).cast("long")).alias("n_symbols"),
+    )
+    rows = rows.withColumn("twos", _joined("ones", 1)).withColumn("fours", _joined("twos", 2))
+    # a window that is found twice holds five runs of four words that are found twice
+    rows = rows.select(
+        "row", "doc_id", "ones", "twos", "n_words", "word_chars", "n_symbols", long(_repeats("lines")).alias("n_dup_lines"),
+        F.when(_repeats("fours") >= 5, _joined("fours", 4)).alias("windows"),
     )
     # windows that are found twice or more: neighbours in the order of their hashes; each covers WINDOW words
-    rows = rows.withColumn("placed", F.array_sort(F.expr("transform(windows, (h, i) -> struct(h AS h, i AS i))")))
+    rows = rows.withColumn("placed", F.sort_array(F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN transform(windows, (h, i) -> struct(h AS h, i AS i)) END")))
     rows = rows.withColumn(
         "found",
-        F.array_sort(F.expr("transform(filter(placed, (x, i) -> x.h = get(placed, i - 1).h OR x.h = get(placed, i + 1).h), x -> x.i)")),
+        F.sort_array(F.expr("transform(filter(placed, (x, i) -> x.h = get(placed, i - 1).h OR x.h = get(placed, i + 1).h), x -> x.i)")),
     )
     covered = F.expr(
         f"CASE WHEN size(found) > 1 THEN {WINDOW} + aggregate(sequence(1, size(found) - 1), 0, (n, i) -> n + least({WINDOW}, found[i] - found[i - 1])) ELSE 0 END"
     )
-    rows = rows.withColumn("n_repeat_words", long(covered)).drop("windows", "placed", "found")
+    rows = rows.withColumn("n_repeat_words", long(covered)).drop("lines", "windows", "placed", "found")
     return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
+def _bucket(h: Column, buckets: int) -> Column:
+    return h.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
 def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n): how often n-grams of each bucket stand in the texts."""
-    words = docs.select(_split_words(F.lower("text")).alias("words"))
-    return words.select(F.explode(_buckets_of("words", buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """(bucket, n): how often 1- and 2-grams of each bucket stand in the texts."""
+    words = docs.select(_split_words(F.col("text")).alias("words")).select(_word_hashes("words").alias("ones"))
+    # explode_outer: explode would first filter by the array's size, and so make each array twice
+    grams = words.select(F.explode_outer(F.concat("ones", _joined("ones", 1))).alias("h")).filter("h IS NOT NULL")
+    return grams.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> DataFrame:
-    """One row: ratios, an array over the buckets of log(p_target / p_raw), all 0 if nothing is trusted."""
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> list[float]:
+    """For every bucket log(p_target / p_raw), all 0 if nothing is trusted. As many numbers as buckets come to the driver."""
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("good_id"))
     trusted = docs.join(good, docs["doc_id"].cast("long") == good["good_id"], "left_semi")
     counts = bucket_counts(docs, buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target")).union(
         bucket_counts(trusted, buckets).select("bucket", F.lit(0).cast("long"), "n")
     )
-    both = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
-    # at most ``buckets`` rows from here on
-    each = counts.union(both).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    held = each.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("each"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    ratio = lambda x: F.when(
-        F.col("targets") > 0,
-        F.log((x["target"] + smooth) / (F.col("targets") + smooth * buckets)) - F.log((x["raw"] + smooth) / (F.col("raws") + smooth * buckets)),
-    ).otherwise(F.lit(0.0))
-    return held.select(F.transform("each", ratio).alias("ratios"))
-
-
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, smooth: float = 1.0, threshold: float = -0.04) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): the signals, base_failed, score and kept. ``labels``: doc_id, quality."""
-    rows = signals(docs).withColumn("low", _split_words(F.lower("text"))).withColumn("grams", _buckets_of("low", buckets))
-    rows = rows.withColumn("ratios", log_ratios(docs, labels, buckets, smooth).scalar())
-    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get("ratios", g))
+    raw, target = [0] * buckets, [0] * buckets
+    for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    raws, targets = sum(raw) + smooth * buckets, sum(target) + smooth * buckets
+    if not any(target):
+        return [0.0] * buckets
+    return [math.log((t + smooth) / targets) - math.log((r + smooth) / raws) for r, t in zip(raw, target, strict=True)]
+
+
+def _scored(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float, threshold: float) -> DataFrame:
+    if buckets & (buckets - 1):
+        raise ValueError("buckets is a power of two")
+    rows = signals(docs).withColumn("grams", F.concat("ones", "twos"))
+    # as a constant, which Spark folds into one array
+    ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, buckets, smooth)))), ",").cast("array<double>")
+    total = F.aggregate("grams", F.lit(0.0), lambda a, h: a + F.get(ratios, _bucket(h, buckets)))
     rows = rows.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
-    kept = ~F.col("base_failed") & (F.col("score") >= threshold)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", kept.alias("kept"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text): the signals, base_failed, score and kept. ``labels``: doc_id, quality."""
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    return _scored(docs, labels, buckets, smooth, threshold).select(*names)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns as they were."""
+    rows = _scored(docs, labels, buckets, smooth, threshold)
+    # not a filter on kept: Spark would push it below the projections and write each of their arrays out many times
+    held = rows.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).filter("row IS NOT NULL")
+    return held.select("row.*")

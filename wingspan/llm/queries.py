@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wingspan.llm import bpe_transducer, language_id, packing, quality_rules, simhash_dedup, substring_dedup
+from wingspan.llm import (
+    bpe_transducer,
+    chat_perspectives,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    packing,
+    quality_rules,
+    simhash_dedup,
+    substring_dedup,
+    token_counts,
+)
 from wingspan.llm.common import table
 
 
@@ -17,10 +28,24 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.attribute(table(spark, sf_dir, "documents"), spec, ("source", "lang", "text"), by_line=("text",), rule="most")
+
+
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_perspectives.views(table(spark, sf_dir, "conversations"), block_turns=512)
+    return found.withColumn("mask", chat_perspectives.spans_as_text("mask"))
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,16 +67,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup,
+        op2_token_counts,
+        op3_chat_perspectives,
         op4_bpe_transducer,
+        op5_license_scan,
         op6_quality_rules,
         op7_language_id,
         op8_substring_dedup,
         op9_packing,
+        op10_embedding_dedup,
     )
 }
 
-SQL: dict[str, str] = {"op8_substring_dedup": substring_dedup.SQL}
+SQL: dict[str, str] = {
+    "op3_chat_perspectives": chat_perspectives.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
+}
