@@ -250,11 +250,10 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float, beam: int, slac
             fit = (g["chunk"][own] != g["chunk"][at]) if apart else own != at
             own, at = own[fit], at[fit]
             np.add.at(links, own, g["n"][at])
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
             by = np.argsort(own, kind="stable")
             own, at = own[by], at[by]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
-            for a, z in zip(starts, np.r_[starts[1:], len(own)], strict=True):
+            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, int)
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
                 old = np.unique(np.r_[label[own[a]], label[at[a:z]]])
                 if len(old) > 1:
                     label[np.isin(label, old)] = old[0]
