@@ -139,7 +139,7 @@ def test_file_order_across_splits(spark, workdir):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
-        df = raw.read_airlines(spark, path)
+        df = raw.read_airlines(spark, path, multi_line=False)
         assert df.rdd.getNumPartitions() > 3
         got = {r["iata_code"]: r["airline_id"] for r in C.dedupe_airlines(df).collect()}
     finally:

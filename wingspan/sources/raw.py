@@ -18,6 +18,9 @@ from wingspan.functions.exprs import null_tokens
 
 RAW_OPTIONS = {"header": "false", "sep": ",", "nullValue": "\\N", "escape": '"', "quote": '"',
                "mode": "PERMISSIVE"}
+# Where a quoted line break may stand inside a record (``multi_line``), a file is
+# read by one task, so writers bound the rows of a file.
+MAX_RECORDS_PER_FILE = 1_000_000
 
 
 def _null_string_tokens(df: DataFrame) -> DataFrame:
@@ -29,15 +32,18 @@ def _null_string_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _null_string_tokens(spark.read.options(**RAW_OPTIONS).schema(schema).csv(path))
+def read_raw(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """``multi_line`` for the small files whose text may hold line breaks; large
+    files (routes: codes and numbers only) stay splittable."""
+    return _null_string_tokens(spark.read.options(**RAW_OPTIONS).option("multiLine", multi_line).schema(schema).csv(path))
 
 
 def write_raw(df: DataFrame, path: str) -> str:
     """Write a frame in the raw file format (used to stage test inputs)."""
     (
         df.write.mode("errorifexists")
-        .options(header="false", sep=",", nullValue="\\N", escape='"', quote='"')
+        .options(header="false", sep=",", nullValue="\\N", escape='"', quote='"', **S.CSV_KEEP_BLANKS)
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .csv(path)
     )
     return path
@@ -46,7 +52,7 @@ def write_raw(df: DataFrame, path: str) -> str:
 # A1 -------------------------------------------------------------------------------
 def read_airports(spark: SparkSession, path: str, keep_all: bool = False) -> DataFrame:
     """Airports with a code and of type ``airport`` (``keep_all`` skips the filter)."""
-    df = read_raw(spark, path, S.AIRPORTS)
+    df = read_raw(spark, path, S.AIRPORTS, multi_line=True)
     if keep_all:
         return df
     return df.filter(F.col("iata_code").isNotNull() & (F.col("type") == "airport"))
@@ -71,10 +77,11 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 
 # A2 -------------------------------------------------------------------------------
-def read_airlines(spark: SparkSession, path: str, keep_all: bool = False, file_order: bool = True) -> DataFrame:
+def read_airlines(spark: SparkSession, path: str, keep_all: bool = False, file_order: bool = True,
+                  multi_line: bool = True) -> DataFrame:
     """Airlines (active ones unless ``keep_all``); with ``file_order`` a
     ``file_order`` column keeps each row's position for keep-first (E1)."""
-    df = read_raw(spark, path, S.AIRLINES)
+    df = read_raw(spark, path, S.AIRLINES, multi_line)
     if file_order:
         df = with_file_order(df)
     return df if keep_all else df.filter(F.col("active") == "Y")
@@ -92,6 +99,7 @@ def read_fact_csv(spark: SparkSession, path: str) -> DataFrame:
     df = (
         spark.read.option("header", True)
         .option("escape", '"')
+        .option("multiLine", True)
         .schema(S.FACT_CSV)
         .csv(path)
     )
@@ -99,17 +107,36 @@ def read_fact_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A8 -------------------------------------------------------------------------------
-CHANGE_CSV_OPTIONS = {"header": "false", "sep": ",", "escape": '"',
-                      "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-                      "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+# Times are written to the microsecond and read with any fraction or none.
+CHANGE_CSV_OPTIONS = {"header": "false", "sep": ",", "escape": '"'}
+_WRITE_TIMES = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+_READ_TIMES = {"timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+CORRUPT = "_unparsed"
+
+
+class UnparsedRowsError(ValueError):
+    pass
 
 
 def write_change_csv(df: DataFrame, path: str) -> str:
-    """Headerless change rows, timestamps at microsecond precision."""
-    df.write.mode("errorifexists").options(**CHANGE_CSV_OPTIONS).csv(path)
+    """Headerless change rows, flags as 0/1, timestamps at microsecond precision."""
+    flags = [F.col(f.name).cast("int").alias(f.name) if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
+             for f in df.schema.fields]
+    out = df.select(*flags).write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    out.options(**CHANGE_CSV_OPTIONS, **_WRITE_TIMES, **S.CSV_KEEP_BLANKS).csv(path)
     return path
 
 
 def read_change_csv(spark: SparkSession, path: str, schema: T.StructType = S.FACT_WITH_AUDIT) -> DataFrame:
-    """Headerless comma-separated change rows (the bulk-load format)."""
-    return spark.read.options(**CHANGE_CSV_OPTIONS).schema(schema).csv(path)
+    """Headerless comma-separated change rows (the bulk-load format): flags as
+    0/1, times to the second or finer. A row that does not parse fails the read
+    (``UnparsedRowsError``) instead of turning into nulls; the check reads the
+    files once."""
+    stored = [T.StructField(f.name, T.IntegerType()) if isinstance(f.dataType, T.BooleanType) else f for f in schema.fields]
+    reader = spark.read.options(**CHANGE_CSV_OPTIONS, **_READ_TIMES).option("multiLine", True)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    rows = reader.schema(T.StructType([*stored, T.StructField(CORRUPT, T.StringType())])).csv(path)
+    bad = rows.select(CORRUPT, *[f.name for f in stored]).filter(F.col(CORRUPT).isNotNull()).limit(3).collect()
+    if bad:
+        raise UnparsedRowsError(f"{path}: rows that do not parse, e.g. {[r[CORRUPT] for r in bad]}")
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
