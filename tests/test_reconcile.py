@@ -46,3 +46,21 @@ def test_counts(spark):
     assert r["matches"] is True
     r = row(G.validate_count(b, a))
     assert (r["expected_count"], r["actual_count"], r["matches"]) == (10, 7, False)
+
+
+def test_chains_pair_rank_by_rank(spark):
+    """1.0 and 1.0008 against 1.0008 and 1.0016: sorted and zipped, both pairs lie within 0.001."""
+    a = spark.createDataFrame([("k", 1.0), ("k", 1.0008), ("m", 5.0)], "k string, v double")
+    b = spark.createDataFrame([("k", 1.0008), ("k", 1.0016), ("m", 5.0)], "k string, v double")
+    assert row(G.compare(a, b, 0.001))["equal"] is True
+    r = row(G.compare(a, b, 0.0005))
+    assert (r["only_left"], r["only_right"], r["matched"]) == (2, 2, 1)
+
+
+def test_floats_only_and_repeats(spark):
+    a = spark.createDataFrame([(2.0,), (2.0,), (1.0,), (None,)], "v double")
+    b = spark.createDataFrame([(1.0,), (2.0,), (2.0005,), (None,)], "v double")
+    assert row(G.compare(a, b, 0.001))["equal"] is True
+    r = row(G.compare(a, b.filter("v < 2.0001 OR v IS NULL"), 0.001))
+    assert (r["rows_left"], r["rows_right"], r["only_left"], r["only_right"]) == (4, 3, 1, 0)
+    assert row(G.compare(a.limit(0), b.limit(0)))["equal"] is True

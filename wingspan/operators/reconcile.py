@@ -7,19 +7,16 @@ columns within an absolute tolerance (decimals compare exactly).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wingspan.operators.windows import running_sums
+
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 _COUNTS = ["rows_left", "rows_right", "only_left", "only_right"]
 
 
-def _tag(df: DataFrame, **flags) -> DataFrame:
-    """Project a frame to count flags only (for one-pass counting by union)."""
-    return df.select(*[F.lit(flags.get(c, 0)).alias(c) for c in _COUNTS])
-
-
 def _float_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, FLOAT_TYPES)]
 
@@ -27,10 +24,16 @@ def _float_cols(df: DataFrame) -> list[str]:
 def compare(left: DataFrame, right: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """One row: rows_left, rows_right, only_left, only_right, matched, equal.
 
-    Rows pair up within equal non-float keys by rank of their float values;
-    a pair whose floats all lie within ``tolerance`` matches. (Pairing by rank
-    is exact when rows sharing keys differ by more than the tolerance or are
-    interchangeable.) Different column sets -> nothing matches.
+    Within equal non-float values (the key) both sides are sorted by their
+    float columns and paired rank by rank, as two sorted lists are zipped; a
+    pair whose floats all lie within ``tolerance`` matches (null matches null
+    only). Different column sets -> nothing matches.
+
+    Each input is evaluated once: the union, weighted by side, is grouped by
+    all columns, which reduces repeated rows within each task. With float
+    columns the distinct rows get running ranks in blocks of the global order
+    (``windows.running_sums``), so a key that holds most rows is spread over
+    many tasks, and ranks meet in a grouping by key and rank.
     """
     if [f.name for f in left.schema.fields] != [f.name for f in right.schema.fields]:
         a, b = left.count(), right.count()
@@ -38,38 +41,46 @@ def compare(left: DataFrame, right: DataFrame, tolerance: float = 0.001) -> Data
             [(a, b, a, b, 0, False)],
             "rows_left bigint, rows_right bigint, only_left bigint, only_right bigint, matched bigint, equal boolean",
         )
-    floats = _float_cols(left)
-    keys = [c for c in left.columns if c not in floats]
-    # exact bag difference first (aggregates: skew-safe, fully distributed)
-    resid_l, resid_r = left.exceptAll(right), right.exceptAll(left)
-    tagged = _tag(left, rows_left=1).unionByName(_tag(right, rows_right=1))
+    columns, floats = left.columns, _float_cols(left)
+    plain = {c: f"__c{i}" for i, c in enumerate(columns)}
+    keys, values = [plain[c] for c in columns if c not in floats], [plain[c] for c in floats]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`").alias(plain[c]) for c in columns],
+                         *[F.lit(int(n == name)).cast("bigint").alias(n) for n in ("__l", "__r")])
+
+    both = side(left, "__l").unionByName(side(right, "__r"))
+    rows = both.groupBy(*keys, *values).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
     if not floats:
-        tagged = tagged.unionByName(_tag(resid_l, only_left=1)).unionByName(_tag(resid_r, only_right=1))
+        flags = rows.select(
+            F.col("__l").alias("rows_left"), F.col("__r").alias("rows_right"),
+            F.greatest(F.col("__l") - F.col("__r"), F.lit(0)).alias("only_left"),
+            F.greatest(F.col("__r") - F.col("__l"), F.lit(0)).alias("only_right"),
+        )
     else:
-        # only rows without an exact twin are paired within tolerance
-        w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*floats)
-        cols = left.columns
-        lt = resid_l.withColumn("__rn", F.row_number().over(w)).select(
-            *[F.col(c).alias(f"l_{i}") for i, c in enumerate(cols)], F.col("__rn").alias("l_rn"),
-            F.lit(True).alias("l_in"))
-        rt = resid_r.withColumn("__rn", F.row_number().over(w)).select(
-            *[F.col(c).alias(f"r_{i}") for i, c in enumerate(cols)], F.col("__rn").alias("r_rn"),
-            F.lit(True).alias("r_in"))
-        idx = {c: i for i, c in enumerate(cols)}
-        cond = [F.col(f"l_{idx[k]}").eqNullSafe(F.col(f"r_{idx[k]}")) for k in keys] + [F.col("l_rn") == F.col("r_rn")]
-        close = F.lit(True)
-        for c in floats:
-            lc, rc = F.col(f"l_{idx[c]}"), F.col(f"r_{idx[c]}")
-            close = close & ((lc.isNull() & rc.isNull()) | (F.abs(lc - rc) <= F.lit(tolerance)))
-        ok = F.col("l_in").isNotNull() & F.col("r_in").isNotNull() & F.coalesce(close, F.lit(False))
-        flags = lt.join(rt, cond, "full_outer").select(
-            F.when(F.col("l_in").isNotNull() & ~ok, 1).otherwise(0).alias("only_left"),
-            F.when(F.col("r_in").isNotNull() & ~ok, 1).otherwise(0).alias("only_right"),
-            F.lit(0).alias("rows_left"),
-            F.lit(0).alias("rows_right"),
+        ranked = running_sums(rows, [*keys, *values], {"__lr": "__l", "__rr": "__r"})
+        key = [F.xxhash64(F.lit(0), *keys).alias("__k0"), F.xxhash64(F.lit(1), *keys).alias("__k1")]
+        ranked = ranked.select(*key, *values, "__l", "__r", "__lr", "__rr")
+        first = ranked.groupBy("__k0", "__k1").agg(F.min(F.col("__lr") - F.col("__l")).alias("__l0"),
+                                                   F.min(F.col("__rr") - F.col("__r")).alias("__r0"))
+        ranked = ranked.join(first, ["__k0", "__k1"])
+        places = []
+        for n, run, start in (("__l", "__lr", "__l0"), ("__r", "__rr", "__r0")):
+            at = F.explode(F.sequence(F.col(run) - F.col(n) - F.col(start) + 1, F.col(run) - F.col(start)))
+            places.append(ranked.filter(F.col(n) > 0).select("__k0", "__k1", at.alias("__rank"), F.lit(n).alias("__side"),
+                                                             F.struct(*values).alias("__v")))
+        paired = places[0].unionByName(places[1]).groupBy("__k0", "__k1", "__rank").agg(
+            *[F.max(F.when(F.col("__side") == n, F.col("__v"))).alias(n) for n in ("__l", "__r")])
+        there = [F.col(n).isNotNull() for n in ("__l", "__r")]
+        close = there[0] & there[1]
+        for v in values:
+            a, b = F.col("__l")[v], F.col("__r")[v]
+            close = close & (a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= F.lit(tolerance), F.lit(False)))
+        flags = paired.select(
+            there[0].cast("bigint").alias("rows_left"), there[1].cast("bigint").alias("rows_right"),
+            (there[0] & ~close).cast("bigint").alias("only_left"), (there[1] & ~close).cast("bigint").alias("only_right"),
         )
-        tagged = tagged.unionByName(flags)
-    out = tagged.agg(*[F.sum(c).cast("bigint").alias(c) for c in _COUNTS]).na.fill(0)
+    out = flags.agg(*[F.sum(c).cast("bigint").alias(c) for c in _COUNTS]).na.fill(0)
     return out.select(
         *_COUNTS,
         (F.col("rows_left") - F.col("only_left")).alias("matched"),
