@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from wingspan.streaming import sync as I
@@ -131,28 +132,47 @@ def test_marks_ignore_session_time_zone(spark):
     assert base == ev.filter(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).count()
 
 
-def test_windowed_counts_late_data(spark, workdir):
+def test_windowed_counts_do_not_depend_on_the_split(spark, workdir):
+    def t(h, m, s):
+        return dt.datetime(2024, 1, 1, h, m, s)
+
+    files = [[(1, "a", t(10, 0, 10)), (2, "b", t(10, 0, 20)), (3, "c", t(10, 1, 5))],
+             [(4, "d", t(10, 0, 30)), (5, "e", t(10, 30, 0))], [(6, "f", t(10, 0, 40))]]
+    schema = spark.createDataFrame([], SCHEMA).schema
+    found = []
+    for run_no, (order, most) in enumerate([([0, 1, 2], 1000), ([0, 1, 2], 1), ([2, 1, 0], 1)]):
+        feed, target, ckpt = (os.path.join(workdir, f"{run_no}-{x}") for x in ("feed", "target", "ckpt"))
+        os.makedirs(feed)
+        for i in order:
+            drop(spark, feed, f"b{order.index(i)}", files[i])
+        stream = I.change_stream(spark, feed, schema, max_files_per_trigger=most, options={"recursiveFileLookup": "true"})
+        I.sync_windowed_counts(stream, "updated_at", target, ckpt, minutes=1).awaitTermination()
+        found.append({(r["window_start"].hour, r["window_start"].minute): r["new_records"]
+                      for r in I.windowed_counts_state(spark, target).collect()})
+    assert found == [{(10, 0): 4, (10, 1): 1, (10, 30): 1}] * 3
+
+
+def test_empty_feed(spark, workdir):
     feed, target, ckpt = (os.path.join(workdir, x) for x in ("feed", "target", "ckpt"))
     os.makedirs(feed)
-    schema = spark.createDataFrame([], SCHEMA).schema
+    run(spark, feed, target, ckpt)
+    assert counters(spark, target) == (0, 0) and state(spark, target) == {}
+    drop(spark, feed, "b1", [])
+    run(spark, feed, target, ckpt)
+    assert counters(spark, target) == (0, 0) and state(spark, target) == {}
+    drop(spark, feed, "b2", [(1, "a", T1)])
+    run(spark, feed, target, ckpt)
+    assert counters(spark, target) == (1, 1) and state(spark, target) == {1: "a"}
 
-    def t(h, m, s):
-        return dt.datetime(2024, 1, 1, h, m, s)
 
-    def once():
-        stream = I.change_stream(spark, feed, schema, options={"recursiveFileLookup": "true"})
-        I.sync_windowed_counts(stream, "updated_at", target, ckpt, minutes=1, watermark_minutes=10).awaitTermination()
-        return {(r["window_start"].hour, r["window_start"].minute): r["new_records"]
-                for r in I.windowed_counts_state(spark, target).collect()}
-
-    drop(spark, feed, "b1", [(1, "a", t(10, 0, 10)), (2, "b", t(10, 0, 20)), (3, "c", t(10, 1, 5))])
-    assert once() == {(10, 0): 2, (10, 1): 1}
-    # late but within the watermark: counted; a new high moves the watermark to 10:20
-    drop(spark, feed, "b2", [(4, "d", t(10, 0, 30)), (5, "e", t(10, 30, 0))])
-    assert once() == {(10, 0): 3, (10, 1): 1, (10, 30): 1}
-    # older than the watermark: dropped, the window keeps its value
-    drop(spark, feed, "b3", [(6, "f", t(10, 0, 40))])
-    assert once()[(10, 0)] == 3
+def test_new_checkpoint_on_an_old_target_is_refused(spark, workdir):
+    feed, target, ckpt = (os.path.join(workdir, x) for x in ("feed", "target", "ckpt"))
+    os.makedirs(feed)
+    drop(spark, feed, "b1", [(1, "a", T1)])
+    run(spark, feed, target, ckpt)
+    with pytest.raises(ValueError):
+        run(spark, feed, target, ckpt + "-other")
+    assert state(spark, target) == {1: "a"}
 
 
 def test_paced_backfill(spark, workdir):

@@ -10,12 +10,12 @@ batch rewrites exactly its own folder, so the sink is idempotent.
 Readers see the current state: the latest row per key over all batches
 (E4), ordered by ``updated_at``, then batch id, then a tie-break column.
 Updates never become duplicates; ``compact`` rewrites the current state to
-a new version folder and switches a pointer.
+a new version folder and points at it. A feed that brought nothing gives an
+empty state and counters of zero.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,10 +24,11 @@ from pyspark.sql.types import StructType
 from wingspan import schemas as S
 from wingspan.functions.exprs import ts_literal
 from wingspan.operators.windows import latest_per_key
-from wingspan.sources.sinks import current_version, publish_version, read_current
+from wingspan.sources.sinks import _fs, current_version, publish_version, read_current
 
 CHANGES = "changes"
 METRICS = "metrics"
+SCHEMA = "schema"
 COMPACTED = "compacted"
 
 
@@ -37,10 +38,11 @@ def change_stream(
     schema: StructType,
     fmt: str = "parquet",
     glob: str | None = None,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = 1000,
     options: dict | None = None,
 ) -> DataFrame:
-    """The change feed as a streaming DataFrame (declared schema)."""
+    """The change feed as a streaming DataFrame (declared schema). A
+    backlog is taken in micro-batches of at most ``max_files_per_trigger`` files."""
     reader = spark.readStream.format(fmt).schema(schema).options(**(options or {}))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -54,17 +56,18 @@ def batch_writer(target: str):
     """foreachBatch sink: one overwrite folder per batch id, plus a metrics row."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # two actions on the batch (emptiness test, write): compute it once
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if batch.isEmpty():  # I5: an empty batch writes nothing
-                return
-            folder = f"{target}/{CHANGES}/batch_id={batch_id}"
-            batch.write.mode("overwrite").parquet(folder)
-        finally:
-            batch.unpersist()
+        # written once, in one pass; the row count comes from Parquet footers
         spark = batch.sparkSession
-        rows = spark.read.parquet(folder).count()  # from Parquet footers
+        folder = f"{target}/{CHANGES}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        rows = spark.read.schema(batch.schema).parquet(folder).count()
+        if not rows:  # I5: an empty batch leaves nothing behind
+            path, fs = _fs(spark, folder)
+            fs.delete(path, True)
+            parent = path.getParent()
+            if not fs.listStatus(parent):
+                fs.delete(parent, True)
+            return
         spark.createDataFrame([(int(batch_id), int(rows))], "batch bigint, rows bigint").coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{target}/{METRICS}/batch_id={batch_id}")
@@ -80,7 +83,13 @@ def start_sync(
     query_name: str | None = None,
 ) -> StreamingQuery:
     """Start the sync: ``interval_seconds=None`` runs once over everything
-    available and stops (I2); a number runs continuously on that trigger (I3)."""
+    available and stops (I2); a number runs continuously on that trigger (I3).
+    A target that holds batches needs the checkpoint they were written with:
+    another one would count batches from 0 again and overwrite them."""
+    spark = changes.sparkSession
+    if _exists(spark, f"{target}/{CHANGES}") and not _exists(spark, checkpoint):
+        raise ValueError(f"{target} holds batches of another checkpoint than {checkpoint}")
+    spark.createDataFrame([], changes.schema).write.mode("overwrite").parquet(f"{target}/{SCHEMA}")
     writer = changes.writeStream.foreachBatch(batch_writer(target)).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
@@ -106,7 +115,14 @@ def sync_once(changes: DataFrame, target: str, checkpoint: str) -> None:
 
 def synced_changes(spark: SparkSession, target: str) -> DataFrame:
     """All synced change rows with their ``batch_id``."""
-    return spark.read.parquet(f"{target}/{CHANGES}")
+    if _exists(spark, f"{target}/{CHANGES}"):
+        return spark.read.parquet(f"{target}/{CHANGES}")
+    return spark.read.parquet(f"{target}/{SCHEMA}").withColumn("batch_id", F.lit(0)).filter("false")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
 
 
 def current_state(
@@ -125,6 +141,8 @@ def current_state(
 
 def sync_counters(spark: SparkSession, target: str) -> DataFrame:
     """One row: batches written and rows synced in total."""
+    if not _exists(spark, f"{target}/{METRICS}"):
+        return spark.createDataFrame([(0, 0)], "batches bigint, rows_synced bigint")
     m = spark.read.parquet(f"{target}/{METRICS}")
     return m.agg(
         F.countDistinct("batch").alias("batches"),
@@ -171,16 +189,21 @@ def change_window_report(changes: DataFrame, updated_at: str, as_of_ts, minutes:
 
 
 def windowed_change_counts(changes: DataFrame, updated_at: str, minutes: int = 1,
-                           watermark_minutes: int = 10) -> DataFrame:
-    """Streaming form of I7: changes per event-time window, late rows bounded by a watermark.
+                           watermark_minutes: int | None = None) -> DataFrame:
+    """Streaming form of I7: changes per event-time window.
+
+    By default every row counts, however late: the result is the same for any
+    split of the feed, and the state is one small row per window. With a
+    watermark Spark drops the state of old windows, and rows that come later.
 
     Watermarks need an instant type: a ``timestamp_ntz`` column is read as a
     session-time-zone instant (minute windows and printed values unchanged)."""
     if changes.schema[updated_at].dataType.typeName() == "timestamp_ntz":
         changes = changes.withColumn(updated_at, F.col(updated_at).cast("timestamp"))
+    if watermark_minutes is not None:
+        changes = changes.withWatermark(updated_at, f"{int(watermark_minutes)} minutes")
     return (
-        changes.withWatermark(updated_at, f"{int(watermark_minutes)} minutes")
-        .groupBy(F.window(updated_at, f"{int(minutes)} minutes"))
+        changes.groupBy(F.window(updated_at, f"{int(minutes)} minutes"))
         .agg(F.count(F.lit(1)).alias("new_records"), F.min(updated_at).alias("earliest"),
              F.max(updated_at).alias("latest"))
     )
@@ -188,12 +211,12 @@ def windowed_change_counts(changes: DataFrame, updated_at: str, minutes: int = 1
 
 def sync_windowed_counts(
     changes: DataFrame, updated_at: str, target: str, checkpoint: str, minutes: int = 1,
-    watermark_minutes: int = 10, interval_seconds: int | None = None,
+    watermark_minutes: int | None = None, interval_seconds: int | None = None,
 ) -> StreamingQuery:
     """I7 as a stream: per-window change counts in update mode.
 
     Each micro-batch carries the windows it changed (full running values);
-    the watermark lets Spark drop state for windows older than the delay.
+    a watermark, if given, lets Spark drop the state of windows older than it.
     Batches land in their own folders, so readers take the latest version of
     each window (``windowed_counts_state``)."""
     counts = windowed_change_counts(changes, updated_at, minutes, watermark_minutes)
