@@ -1,7 +1,8 @@
 """Enrichment joins (C1-C6) and the airline dedupe.
 
-Lookups (airports, airlines, regions) are broadcast only behind a row-count
-check; past the bound they are shuffled and AQE handles skewed keys.
+Airport and airline lookups carry no hint: Spark broadcasts them when their
+real size is under its threshold, else it shuffles and AQE splits skewed keys.
+The region list is a constant and is hinted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wingspan import schemas as S
 from wingspan.functions import exprs as X
-from wingspan.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast, lookup_left_with_default
+from wingspan.operators.joins import lookup_left_with_default
 from wingspan.operators.windows import keep_first
 
 AIRPORT_ATTRS = ["iata_code", "city", "country", "latitude", "longitude"]
@@ -49,7 +50,7 @@ def region_lookup_frame(spark: SparkSession, mapping: dict[str, list[str]] | Non
 
 
 def with_region(df: DataFrame, country_col: str, out_col: str, lookup: DataFrame) -> DataFrame:
-    lk = bounded_broadcast(lookup.select(F.col("country").alias("__ck"), F.col("region").alias("__rg")))
+    lk = F.broadcast(lookup.select(F.col("country").alias("__ck"), F.col("region").alias("__rg")))
     return (
         df.join(lk, F.col(country_col) == F.col("__ck"), "left")
         .withColumn(out_col, F.coalesce(F.col("__rg"), F.lit(S.OTHER_REGION)))
@@ -62,31 +63,33 @@ def _airport_side(airports: DataFrame, prefix: str) -> DataFrame:
 
 
 # C1 ---------------------------------------------------------------------------------
-def join_origin(routes: DataFrame, airports: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    side = bounded_broadcast(_airport_side(airports, "o"), max_rows)
+def join_origin(routes: DataFrame, airports: DataFrame) -> DataFrame:
+    side = _airport_side(airports, "o")
     return routes.join(side, F.col("origin_airport") == F.col("o_iata_code"), "inner")
 
 
 # C2 ---------------------------------------------------------------------------------
-def join_destination(routes: DataFrame, airports: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    side = bounded_broadcast(_airport_side(airports, "d"), max_rows)
+def join_destination(routes: DataFrame, airports: DataFrame) -> DataFrame:
+    side = _airport_side(airports, "d")
     return routes.join(side, F.col("destination_airport") == F.col("d_iata_code"), "inner")
 
 
 # C3 ---------------------------------------------------------------------------------
-def join_airline(routes: DataFrame, airlines: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    side = bounded_broadcast(airlines.select("iata_code", "name"), max_rows)
+def join_airline(routes: DataFrame, airlines: DataFrame) -> DataFrame:
+    side = airlines.select("iata_code", "name")
     return lookup_left_with_default(routes, side, "airline_code", "iata_code", "name", "airline_name", "Unknown")
 
 
 # C4 ---------------------------------------------------------------------------------
-def unmatched_routes(routes: DataFrame, airports: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Routes dropped by C1 or C2, one per route (origin checked first)."""
-    codes = bounded_broadcast(airports.select(F.col("iata_code").alias("__code")).distinct(), max_rows)
-    no_origin = routes.join(codes, F.col("origin_airport") == F.col("__code"), "left_anti")
-    with_origin = routes.join(codes, F.col("origin_airport") == F.col("__code"), "left_semi")
-    no_dest = with_origin.join(codes, F.col("destination_airport") == F.col("__code"), "left_anti")
-    return no_origin.unionByName(no_dest)
+def unmatched_routes(routes: DataFrame, airports: DataFrame) -> DataFrame:
+    """Routes dropped by C1 or C2, one per route, in one pass: both codes are
+    looked up with a hit flag and routes that miss either stay."""
+    codes = airports.select("iata_code").filter(F.col("iata_code").isNotNull()).distinct()
+    out = routes
+    for i, side in enumerate(("origin_airport", "destination_airport")):
+        hits = codes.select(F.col("iata_code").alias(f"__c{i}"), F.lit(True).alias(f"__h{i}"))
+        out = out.join(hits, F.col(side) == F.col(f"__c{i}"), "left")
+    return out.filter("__h0 IS NULL OR __h1 IS NULL").drop("__c0", "__c1", "__h0", "__h1")
 
 
 # C6 ---------------------------------------------------------------------------------

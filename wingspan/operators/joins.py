@@ -1,47 +1,9 @@
-"""Join helpers: size-checked broadcast and lookup joins."""
+"""Join helpers: lookup joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Bytes a broadcast side may take (estimated from row count x row width).
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-DEFAULT_BROADCAST_ROWS = None  # derive from DEFAULT_BROADCAST_BYTES and the schema
-
-
-def row_width(schema: T.StructType) -> int:
-    """Rough in-memory width of a row: 8 per fixed-width field, 48 per string
-    or binary, 64 per nested field, plus the row header."""
-    width = 16
-    for f in schema.fields:
-        t = f.dataType
-        if isinstance(t, (T.StringType, T.BinaryType)):
-            width += 48
-        elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
-            width += 64
-        else:
-            width += 8
-    return width
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS,
-                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows
-    (default: as many as fit ``max_bytes`` at the schema's row width).
-
-    The probe is a one-column ``limit(n + 1)`` collected with Spark's
-    incremental take: it scans one partition first and widens only while it
-    has seen at most n rows, so a large side costs a partition or two, not a
-    full scan (``limit().count()`` would schedule every partition). Beyond
-    the bound the frame is returned unhinted, so Catalyst plans a shuffle
-    (sort-merge) join and AQE may still demote it to a broadcast at runtime
-    from real sizes.
-    """
-    limit = max_rows if max_rows is not None else max(1, max_bytes // row_width(df.schema))
-    n = len(df.select(F.lit(True).alias("x")).limit(limit + 1).collect())
-    return F.broadcast(df) if n <= limit else df
 
 
 def lookup_left_with_default(

@@ -10,20 +10,6 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def sort_by(df: DataFrame, order_by: list) -> DataFrame:
-    """Global sort (range-partitioned by Spark)."""
-    return df.orderBy(*_cols(order_by))
-
-
-def sort_dimension_keyed(df: DataFrame, order_by: list) -> DataFrame:
-    """Sort an aggregate whose groups are keyed by dimension values only
-    (region pairs, months x regions, distance bands): its size is bounded by
-    those cardinalities, not by the data, so one sorted partition is correct
-    at any scale and saves the range-sampling job and shuffle of a global
-    sort. Never use it on row-level or entity-keyed results."""
-    return df.coalesce(1).sortWithinPartitions(*_cols(order_by))
-
-
 def top_k(df: DataFrame, k: int, order_by: list) -> DataFrame:
     """``ORDER BY ... LIMIT k``; planned as TakeOrderedAndProject, which keeps
     k rows per partition and merges, so memory is bounded by k."""

@@ -84,11 +84,6 @@ def running_sums(
     return res.drop(*drop)
 
 
-def running_sum(df: DataFrame, order_by: list, value, out: str = "running", total_out: str | None = None,
-                blocks: int | None = None) -> DataFrame:
-    return running_sums(df, order_by, {out: value}, {total_out: out} if total_out else None, blocks)
-
-
 def with_position(df: DataFrame, order_by: list, out: str = "position") -> DataFrame:
     """1-based position in a total order, computed block-wise (see running_sums)."""
     return running_sums(df, order_by, {out: F.lit(1).cast("bigint")})

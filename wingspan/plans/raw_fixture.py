@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wingspan import schemas as S
-from wingspan.operators.joins import bounded_broadcast
-from wingspan.plans.fixture import DIMENSION_ROWS, table
+from wingspan.plans.fixture import table
 
 # Fixed test values: a two-letter country code per nation key 0..24.
 COUNTRY_CODES = ["US", "CA", "BR", "AR", "GB", "FR", "DE", "IT", "CN", "JP", "IN", "KR", "AE",
@@ -31,7 +30,7 @@ COUNTRY_CODES = ["US", "CA", "BR", "AR", "GB", "FR", "DE", "IT", "CN", "JP", "IN
 
 def airports_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    n = bounded_broadcast(table(spark, sf_dir, "nation"), DIMENSION_ROWS)
+    n = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows by definition
     nk, bal, key = F.col("n_nationkey"), F.col("s_acctbal"), F.col("s_suppkey")
     codes = F.array(*[F.lit(c) for c in COUNTRY_CODES])
     return s.join(n, F.col("s_nationkey") == nk).select(
