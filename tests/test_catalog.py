@@ -118,8 +118,12 @@ def test_sql_text_equals_dataframe(spark):
         sql_df = sql_df.select(*[sql_df[c].cast(api_df.schema[c].dataType).alias(c) for c in api_df.columns])
         assert sql_df.collect() == api_df.collect(), key  # same rows in the same order
         assert G.compare(api_df, sql_df).collect()[0]["equal"], key
+    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    matrix = Q.regional_flow_matrix(f, as_of, regions=regions)
+    text = spark.sql(Q.get_query_sql("regional_flow_matrix", "flights_sql_text", as_of, regions=regions))
+    assert text.columns == matrix.columns and text.collect() == matrix.collect()
     with pytest.raises(KeyError):
-        Q.get_query_sql("regional_flow_matrix", "t")
+        Q.get_query_sql("nope", "t")
 
 
 def test_underserved_compares_rounded_average(spark):
@@ -141,3 +145,26 @@ def test_flow_matrix_discovers_regions(spark):
     assert got == {"X": (7, 0), "Y": (0, 3)}
     fixed = Q.regional_flow_matrix(fact(spark, rows), AS_OF, regions=["Y", "Z", "W"])
     assert fixed.columns == ["origin_region", "Y", "Z", "W"]
+
+
+def test_trailing_window_ignores_date_parts(spark, workdir):
+    """A row's own year and month may be null or wrong: only its date counts, before and after a round trip."""
+    from wingspan.plans.fixture import read_fact
+    from wingspan.operators import filters as B
+    from wingspan.sources import sinks
+
+    rows = [dict(flight_date=dt.date(2024, 3, 1), flight_year=None, flight_month=None),
+            dict(flight_date=dt.date(2024, 3, 1), flight_year=1999, flight_month=1),
+            dict(flight_date=dt.date(2020, 3, 1), flight_year=2024, flight_month=3), dict(flight_date=None)]
+    f = fact(spark, rows)
+    sinks.write_fact_parquet(f, workdir + "/f")
+    for frame in (f, read_fact(spark, workdir + "/f")):
+        kept = B.trailing_months(frame, 12, AS_OF).select("flight_year").collect()
+        assert sorted(kept, key=str) == [(1999,), (None,)]
+
+
+def test_underserved_groups_are_not_capped(spark):
+    rows = [dict(origin_airport=f"A{i}", flight_date=dt.date(2024, 2, 1)) for i in range(120)]
+    groups = Q.underserved_groups(fact(spark, rows), AS_OF)
+    assert groups.count() == 120
+    assert "TakeOrdered" not in groups._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 SAMPLE = ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity_trends", "distance_analysis",
           "hub_concentration", "regional_flow_matrix", "enrich_routes", "dedupe_first", "latest_per_key",
           "sort_desc", "reconcile_diff", "month_range", "sync_current_state", "fact_roundtrip_csv",
-          "hub_concentration_all", "layouts_agree", "change_window_stream"]
+          "hub_concentration_all", "layouts_agree", "change_window_stream", "change_window_files",
+          "fact_table_projection", "fact_incremental", "fact_csv_append", "fact_sync", "sync_continuous", "sync_empty_batch",
+          "sample_n", "table_profile", "compare_storage", "having_or", "append_union", "override_projection", "load_overwrite"]
 
 
 def test_entry(spark):
@@ -26,7 +28,9 @@ def test_entry(spark):
 def test_every_oracle_has_a_query():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert set(q) - set(s) == {"sample_n", "table_profile", "compare_storage"}
+    from wingspan.plans.checks import REGISTRY
+
+    assert set(REGISTRY) <= set(s)
 
 
 def _norm(v):

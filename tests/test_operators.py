@@ -107,7 +107,7 @@ def test_parquet_partitioned_round_trip(spark, workdir):
     K.write_fact_parquet(fact(spark, rows), path)
     back = spark.read.schema(S.FACT).parquet(path)
     assert back.count() == 12
-    assert sorted(os.listdir(os.path.join(path, "flight_year=2020"))) == sorted(f"flight_month={m}" for m in range(1, 13))
+    assert sorted(os.listdir(os.path.join(path, "part_year=2020"))) == sorted(f"part_month={m}" for m in range(1, 13))
 
 
 def test_table_profile_and_compare(spark, workdir):

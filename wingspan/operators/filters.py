@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wingspan import schemas as S
 from wingspan.functions import exprs as X
 
 
@@ -14,7 +15,7 @@ def trailing_cutoff(as_of=None, months: int = 12) -> dt.date:
     return X.add_months(X.as_date(as_of), -months)
 
 
-def month_floor_predicate(cutoff: dt.date, year_col="flight_year", month_col="flight_month") -> Column:
+def month_floor_predicate(cutoff: dt.date, year_col="part_year", month_col="part_month") -> Column:
     """Implied by ``date >= cutoff``; stated on the partition columns so the
     scan skips whole month directories."""
     y, m = F.col(year_col), F.col(month_col)
@@ -27,12 +28,15 @@ def trailing_months(
     months: int,
     as_of=None,
     date_col: str = "flight_date",
-    prune_partitions: bool = True,
 ) -> DataFrame:
-    """``date >= as_of - n months``: no upper bound, null dates drop."""
+    """``date >= as_of - n months``: no upper bound, null dates drop.
+
+    A fact read from its files carries the partition columns that its writer
+    derived from the date; the implied predicate on them skips month folders.
+    The date parts that rows carry as data are never consulted."""
     cutoff = trailing_cutoff(as_of, months)
     cond = F.col(date_col) >= F.lit(cutoff)
-    if prune_partitions and {"flight_year", "flight_month"} <= set(df.columns):
+    if date_col == "flight_date" and set(S.FACT_PARTITION_COLUMNS) <= set(df.columns):
         cond = cond & month_floor_predicate(cutoff)
     return df.filter(cond)  # one filter: one analysis round-trip
 
@@ -75,7 +79,7 @@ def with_date_parts(df: DataFrame, date_col: str = "flight_date", prefix: str =
 def override_dates(df: DataFrame, as_of=None) -> DataFrame:
     """Copy rows with the flight date and its parts replaced by ``as_of``."""
     day = X.as_date(as_of)
-    return df.withColumns(
+    return df.drop(*S.FACT_PARTITION_COLUMNS).withColumns(
         {
             "flight_date": F.lit(day),
             "flight_year": F.lit(day.year),

@@ -25,7 +25,7 @@ from wingspan.operators import windows as W
 from wingspan.plans import catalog as Q
 from wingspan.plans import pipelines as P
 from wingspan.plans import raw_fixture as R
-from wingspan.plans.fixture import fact_path, flights, table
+from wingspan.plans.fixture import fact_path, flights, flights_frame, table
 from wingspan.session import scratch_path
 from wingspan.sources import profile as A
 from wingspan.sources import raw as RAW
@@ -85,7 +85,10 @@ for _key in ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity
 @register("regional_flow_matrix")
 def _regional_flow_matrix(spark, sf_dir):
     # region names of the fixture: a dimension table (5 rows by definition)
-    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").distinct().limit(1000).collect()]
+    most = int(spark.conf.get("spark.sql.pivotMaxValues"))
+    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} destination regions: raise spark.sql.pivotMaxValues")
     return plain(Q.regional_flow_matrix(fact(spark, sf_dir), AS_OF, regions=sorted(names)))
 
 
@@ -123,7 +126,7 @@ def _flag_filter(spark, sf_dir):
 # B6
 @register("having_or")
 def _having_or(spark, sf_dir):
-    return plain(Q.underserved_routes(fact(spark, sf_dir), AS_OF, k=1 << 30))
+    return plain(Q.underserved_groups(fact(spark, sf_dir), AS_OF))
 
 
 # B7
@@ -156,8 +159,7 @@ def _date_parts(spark, sf_dir):
 # B10
 @register("override_projection")
 def _override_projection(spark, sf_dir):
-    f = B.trailing_months(fact(spark, sf_dir), 3, AS_OF)
-    out = B.override_dates(f, AS_OF)
+    out = B.override_dates(fact(spark, sf_dir), AS_OF)
     return plain(out.select("flight_number", "origin_airport", "destination_airport", "seats",
                             "flight_date", "flight_year", "flight_month", "flight_quarter"))
 
@@ -168,6 +170,51 @@ def _named_projection(spark, sf_dir):
     return plain(B.named_projection(fact(spark, sf_dir), S.FACT_TABLE_ORDER))
 
 
+# The fact in its table form: key first, audit times last
+def fact_table(spark, sf_dir):
+    return flights_frame(spark, sf_dir, table_form=True)
+
+
+FACT_MARK = dt.datetime(2001, 7, 1, 0, 0, 0)
+
+
+# B11 / A13 on the table form (27 columns)
+@register("fact_table_projection")
+def _fact_table_projection(spark, sf_dir):
+    return plain(B.named_projection(fact_table(spark, sf_dir), S.FACT_WITH_AUDIT.fieldNames()))
+
+
+# B4 on the table form
+@register("fact_incremental")
+def _fact_incremental(spark, sf_dir):
+    return plain(B.changed_since(fact_table(spark, sf_dir), "updated_at", FACT_MARK))
+
+
+# A8 on the table form: flags as 0/1, times to the second
+@register("fact_csv_append")
+def _fact_csv_append(spark, sf_dir):
+    base = scratch_path(spark, "fact-changes")
+    RAW.write_change_csv(B.changed_since(fact_table(spark, sf_dir), "updated_at", FACT_MARK), f"{base}/incoming")
+    K.append(RAW.read_change_csv(spark, f"{base}/incoming"), f"{base}/target")
+    return plain(spark.read.schema(S.FACT_WITH_AUDIT).parquet(f"{base}/target"))
+
+
+# P4 / I1 / E4 on the table form: every row, then the changed rows again with a seat more and a later time
+@register("fact_sync")
+def _fact_sync(spark, sf_dir):
+    base = scratch_path(spark, "fact-sync")
+    rows = fact_table(spark, sf_dir)
+    rows.write.parquet(f"{base}/feed")
+    later = {"seats": F.col("seats") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")}
+    B.changed_since(rows, "updated_at", FACT_MARK).withColumns(later).write.mode("append").parquet(f"{base}/feed")
+    stream = I.change_stream(spark, f"{base}/feed", S.FACT_WITH_AUDIT)
+    I.sync_once(stream, f"{base}/target", f"{base}/checkpoint")
+    # order and line number repeat in the provided tables: ties go to the larger row
+    ties = ["flight_number", "seats", "created_at", "codeshare"]
+    return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties)
+                 .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
+
+
 # D1
 @register("agg_count")
 def _agg_count(spark, sf_dir):
@@ -290,7 +337,13 @@ def _recent_n(spark, sf_dir):
 # F6
 @register("sample_n")
 def _sample_n(spark, sf_dir):
-    return plain(O.sample_n(fact(spark, sf_dir), 100, seed=17))
+    """One checked row: how many rows the sample has and how many of them stand in the fact."""
+    f = fact(spark, sf_dir).select(*S.FACT_COLUMNS)
+    sample = O.sample_n(f, 100, seed=17)
+    held = sample.distinct().join(f, [sample[c].eqNullSafe(f[c]) for c in S.FACT_COLUMNS], "left_anti")
+    missing = held.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("s"), F.col("n").alias("m"))
+    counts = sample.agg(F.count(F.lit(1)).alias("n")).select(F.col("n").alias("s"), F.lit(0).alias("m")).union(missing)
+    return plain(counts.agg(F.sum("s").alias("sample_rows"), F.sum("m").alias("not_in_fact")))
 
 
 # F8
@@ -321,8 +374,8 @@ def _change_window_report(spark, sf_dir):
 # G1
 @register("append_union")
 def _append_union(spark, sf_dir):
-    recent = B.trailing_months(fact(spark, sf_dir), 3, AS_OF)
-    out = K.union_by_name(recent, B.override_dates(recent, AS_OF))
+    rows = fact(spark, sf_dir).select(*S.FACT_COLUMNS)
+    out = K.union_by_name(rows, B.override_dates(rows, AS_OF))
     return plain(out.select("flight_number", "origin_airport", "seats", "flight_date"))
 
 
@@ -601,8 +654,8 @@ def _fact_roundtrip_parquet(spark, sf_dir):
 def _load_overwrite(spark, sf_dir):
     base = scratch_path(spark, "overwrite")
     f = fact(spark, sf_dir)
-    K.publish_version(B.trailing_months(f, 3, AS_OF), base, S.FACT_PARTITION_COLUMNS)
-    K.publish_version(f, base, S.FACT_PARTITION_COLUMNS)  # full refresh replaces the first load
+    K.publish_version(B.trailing_months(f, 3, AS_OF), base, write=K.write_fact_parquet)
+    K.publish_version(f, base, write=K.write_fact_parquet)  # full refresh replaces the first load
     return plain(K.read_current(spark, base, S.FACT).select(*S.FACT_COLUMNS))
 
 
@@ -633,7 +686,7 @@ def _csv_append(spark, sf_dir):
 @register("insert_select")
 def _insert_select(spark, sf_dir):
     path = scratch_path(spark, "insert-select")
-    f = fact(spark, sf_dir)
+    f = fact(spark, sf_dir).select(*S.FACT_COLUMNS)
     K.append(f, path)
     target_before = spark.read.schema(S.FACT).parquet(path)
     before = target_before.agg(F.count(F.lit(1)).alias("n"),
@@ -674,6 +727,49 @@ def _change_window_stream(spark, sf_dir):
     return plain(I.windowed_counts_state(spark, f"{base}/target"))
 
 
+# I7 on a feed of several files whose rows are out of order, one file a micro-batch
+@register("change_window_files")
+def _change_window_files(spark, sf_dir):
+    base = scratch_path(spark, "window-files")
+    ev = events(spark, sf_dir)
+    ev.repartition(4, F.xxhash64("event_id")).write.parquet(f"{base}/feed")
+    stream = I.change_stream(spark, f"{base}/feed", ev.schema, max_files_per_trigger=1)
+    q = I.sync_windowed_counts(stream, "ts", f"{base}/target", f"{base}/checkpoint", minutes=1)
+    q.awaitTermination()
+    return plain(I.windowed_counts_state(spark, f"{base}/target"))
+
+
+# The timed trigger, stopped once the feed is drained
+@register("sync_continuous")
+def _sync_continuous(spark, sf_dir):
+    base = scratch_path(spark, "sync-continuous")
+    ev = events(spark, sf_dir)
+    stream = I.change_stream(spark, sf_dir, ev.schema, glob="events.parquet")
+    q = I.run_continuous(stream, f"{base}/target", f"{base}/checkpoint", interval_seconds=1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return plain(I.current_state(spark, f"{base}/target", ["user_id"], "ts", ["event_id"]))
+
+
+# A feed without a change leaves no batch; its state is empty, its counters zero
+@register("sync_empty_batch")
+def _sync_empty_batch(spark, sf_dir):
+    base = scratch_path(spark, "sync-empty")
+    ev = events(spark, sf_dir)
+    ev.filter(F.col("event_id").isNull()).write.parquet(f"{base}/feed")
+    stream = I.change_stream(spark, f"{base}/feed", ev.schema)
+    I.sync_once(stream, f"{base}/target", f"{base}/checkpoint")
+    state = I.current_state(spark, f"{base}/target", ["user_id"], "ts", ["event_id"])
+    rows = state.agg(F.count(F.lit(1)).alias("state_rows"))
+    counters = I.sync_counters(spark, f"{base}/target").withColumn("state_rows", F.lit(0).cast("bigint"))
+    both = counters.unionByName(rows, allowMissingColumns=True)
+    source = ev.agg(F.count(F.lit(1)).alias("feed_rows_in_table"))
+    both = both.unionByName(source, allowMissingColumns=True)
+    return plain(both.agg(*[F.sum(c).cast("bigint").alias(c) for c in both.columns]))
+
+
 # I6
 @register("sync_counters")
 def _sync_counters(spark, sf_dir):
@@ -684,7 +780,10 @@ def _sync_counters(spark, sf_dir):
 # A11
 @register("table_profile")
 def _table_profile(spark, sf_dir):
-    return A.table_profile(spark, fact_path(spark, sf_dir), "parquet", layout="columnar", schema=S.FACT)
+    found = A.table_profile(spark, fact_path(spark, sf_dir), "parquet", layout="columnar", schema=S.FACT)
+    return plain(found.select("layout", "row_count", (F.col("files") > 0).alias("has_files"),
+                              (F.col("total_mb") > 0).alias("has_size"),
+                              (F.col("create_time") <= F.col("update_time")).alias("times_in_order")))
 
 
 # A12
@@ -696,4 +795,5 @@ def _compare_storage(spark, sf_dir):
     K.write_fact_parquet(f, f"{path}/col")
     row = A.table_profile(spark, f"{path}/row", "json", layout="row", schema=S.FACT)
     col = A.table_profile(spark, f"{path}/col", "parquet", layout="columnar", schema=S.FACT)
-    return A.compare_storage(row, col)
+    both = A.compare_storage(row, col)
+    return plain(both.select("row_row_count", "col_row_count", (F.col("compression_ratio") > 1).alias("columnar_smaller")))

@@ -11,15 +11,13 @@ One fact row per ``lineitem`` row:
 
 At scale ``lineitem`` is the only large input. The plan joins ``orders`` to
 ``customer`` first (orders-sized), then ``lineitem`` to that on the order key,
-then to ``supplier`` and ``part``. Each lookup side is broadcast only if a
-probe proves it fits ``LOOKUP_BROADCAST_BYTES``; otherwise the join is a
-shuffle (sort-merge) join, re-planned by AQE from real sizes, with skewed
-partitions split. ``lineitem`` itself is always the streamed side. Nation and
-region are dimension tables (25 and 5 rows by definition), broadcast behind
-the same check.
+then to ``supplier`` and ``part``. These joins carry no hint: Spark broadcasts a
+side only when its real size is under ``spark.sql.autoBroadcastJoinThreshold``
+(AQE re-plans from shuffle sizes) and splits skewed partitions otherwise. Only
+the geography (nation x region, 25 rows by definition) is hinted.
 
 The fact is materialised once per input set as Parquet partitioned by
-(flight_year, flight_month) below the shared folder; named queries read it
+the year and month of its date below the shared folder; named queries read it
 with partition pruning, as the reference reads its column-store copy.
 """
 
@@ -30,18 +28,13 @@ import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wingspan import schemas as S
 from wingspan.functions import exprs as X
-from wingspan.operators.joins import bounded_broadcast
 from wingspan.session import shared_dir
 from wingspan.sources.sinks import current_version, publish_version, write_fact_parquet
 
-DIMENSION_ROWS = 10_000
-# Byte budget for broadcasting a lookup side of the fact build (orders x
-# customer, supplier, part); beyond it the side is shuffled (sort-merge).
-LOOKUP_BROADCAST_BYTES = 64 * 1024 * 1024
-
 _MATERIALISED: dict[tuple[str, str], str] = {}
 _FRAMES: dict[tuple[str, str], DataFrame] = {}
 
@@ -56,7 +49,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     nk = F.col("n_nationkey")
     return nation.join(
-        bounded_broadcast(region, DIMENSION_ROWS), F.col("n_regionkey") == F.col("r_regionkey")
+        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
     ).select(
         nk.alias("nk"),
         F.col("n_name").alias("name"),
@@ -70,8 +63,12 @@ def airport_code(nationkey) -> "F.Column":
     return F.concat(F.lit("A"), F.lpad(nationkey.cast("string"), 3, "0"))
 
 
-def flights_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy plan of the fact over the raw tables (FACT column order)."""
+def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) -> DataFrame:
+    """Lazy plan of the fact over the raw tables (FACT column order).
+
+    ``table_form`` gives the analytical table's 27 columns instead: the key
+    ``flight_id`` (order key and line number), the fact, and the audit times
+    ``created_at`` / ``updated_at``."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"
     )
@@ -79,18 +76,17 @@ def flights_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    geo = bounded_broadcast(geography(spark, sf_dir), DIMENSION_ROWS)
+    geo = F.broadcast(geography(spark, sf_dir))
     og = geo.select([F.col(c).alias(f"o_{c}") for c in geo.columns])
     dg = geo.select([F.col(c).alias(f"d_{c}") for c in geo.columns])
 
     dest = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_nationkey"
     )
-    budget = LOOKUP_BROADCAST_BYTES
     j = (
-        li.join(bounded_broadcast(dest, max_bytes=budget), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(bounded_broadcast(supplier, max_bytes=budget), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(bounded_broadcast(part, max_bytes=budget), F.col("l_partkey") == F.col("p_partkey"))
+        li.join(dest, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(og, F.col("s_nationkey") == F.col("o_nk"))
         .join(dg, F.col("c_nationkey") == F.col("d_nk"))
     )
@@ -123,13 +119,22 @@ def flights_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flight_month": F.month(flight_date),
         "flight_quarter": F.quarter(flight_date),
     }
+    if table_form:
+        created = flight_date.cast("timestamp")
+        seconds = F.pmod(F.col("l_partkey"), F.lit(1440)) * 60 + F.col("l_linenumber")
+        cols |= {
+            "flight_id": F.col("l_orderkey") * 8 + F.col("l_linenumber"),
+            "created_at": created,
+            "updated_at": F.timestamp_seconds(F.unix_timestamp(created) + seconds),
+        }
+        return j.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in S.FACT_WITH_AUDIT.fields])
     return j.select(*[cols[name].alias(name) for name in S.FACT_COLUMNS])
 
 
 def _inputs_key(spark: SparkSession, sf_dir: str) -> str:
     """Inputs (path, size, mtime) plus the derivation's own source text, so a
     changed derivation never reuses an old table."""
-    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    h = hashlib.sha1(f"{sf_dir.rstrip('/')} {S.FACT_PARTITION_COLUMNS}".encode())
     h.update(inspect.getsource(flights_frame).encode())
     h.update(inspect.getsource(geography).encode())
     for name in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
@@ -151,7 +156,8 @@ def _stat(spark: SparkSession, path: str) -> str:
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     """Read a partitioned fact with its declared schema (no inference job)."""
-    return spark.read.schema(S.FACT).parquet(path)
+    parts = [T.StructField(c, T.IntegerType()) for c in S.FACT_PARTITION_COLUMNS]
+    return spark.read.schema(T.StructType(S.FACT.fields + parts)).parquet(path)
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:

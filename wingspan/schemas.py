@@ -101,6 +101,9 @@ FACT_CSV = T.StructType(
     [T.StructField(f.name, T.IntegerType()) if f.name == "codeshare" else f for f in FACT.fields]
 )
 
+# Writing: blanks at the ends of text are data.
+CSV_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 # Column order of the analytical table (key first, audit columns last).
 FACT_TABLE_ORDER = [
     "airline_code", "airline_name", "flight_number",
@@ -122,7 +125,10 @@ FACT_WITH_AUDIT = T.StructType(
     ]
 )
 
-FACT_PARTITION_COLUMNS = ["flight_year", "flight_month"]
+# Partition folders of a written fact: always derived from flight_date by the
+# writer, so pruning on them can never lose a row; flight_year / flight_month
+# stay ordinary data columns.
+FACT_PARTITION_COLUMNS = ["part_year", "part_month"]
 
 # ---------------------------------------------------------------------------
 # Fixed values that results depend on.

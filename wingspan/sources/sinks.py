@@ -1,8 +1,9 @@
 """Sinks: fact files (A4), full refresh (A6), append (A7, G1), insert-select.
 
 A full refresh never overwrites the folder readers use: it writes a new
-version folder and then switches a one-line pointer, so a reader sees either
-the old or the new version, and a failed write leaves the old one in place.
+version folder and then points at it. The pointer is an empty file named after
+the version, made by one rename; readers take the newest pointer, so a failed
+write leaves the old version in place and there is no moment without one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from wingspan import schemas as S
 
@@ -21,7 +21,7 @@ POINTER = "_current"
 # A4 (Parquet) ---------------------------------------------------------------------
 def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None,
                        mode: str = "errorifexists") -> str:
-    """Partitioned by (flight_year, flight_month), date-sorted within files.
+    """Partitioned by the year and month of flight_date, date-sorted within files.
 
     ``REBALANCE`` on the partition columns hashes rows by month and lets AQE
     size the write tasks from real shuffle sizes: small months are merged,
@@ -29,6 +29,8 @@ def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None,
     of the data), and no separate sampling pass over the input is needed.
     ``partitions`` is accepted for callers that fix the shuffle width.
     """
+    year, month = S.FACT_PARTITION_COLUMNS
+    df = df.withColumns({year: F.year("flight_date"), month: F.month("flight_date")})
     out = df.hint("rebalance", *S.FACT_PARTITION_COLUMNS) if partitions is None else df.repartition(
         partitions, *S.FACT_PARTITION_COLUMNS, F.pmod(F.xxhash64("flight_number"), F.lit(max(1, partitions // 12)))
     )
@@ -51,14 +53,14 @@ def write_fact_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str
             for c in S.FACT_COLUMNS
         ]
     )
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out.write.mode(mode).options(**S.CSV_KEEP_BLANKS).option("header", True).option("escape", '"').csv(path)
     return path
 
 
 # A6 -------------------------------------------------------------------------------------
 def publish_version(df: DataFrame, base: str, partition_by: list[str] | None = None,
                     suffix: str | None = None, write=None) -> str:
-    """Full refresh: write ``base/v-<id>`` then point ``base/_current`` at it.
+    """Full refresh: write ``base/v-<id>`` then add its pointer below ``base/_current``.
 
     A failed write leaves only an orphan version folder; readers keep the
     previous version. ``write(df, path)`` replaces the plain Parquet writer."""
@@ -70,19 +72,39 @@ def publish_version(df: DataFrame, base: str, partition_by: list[str] | None = N
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{base}/{version}")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(
-        f"{base}/{POINTER}"
-    )
+    _point(df.sparkSession, base, version)
     return version
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop path and its file system (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _pointers(spark: SparkSession, base: str) -> list[str]:
+    folder, fs = _fs(spark, f"{base}/{POINTER}")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def _point(spark: SparkSession, base: str, version: str) -> None:
+    """Publish ``version``: a file made aside, then renamed to its numbered name."""
+    held = _pointers(spark, base)
+    number = int(held[-1].split("=", 1)[0]) + 1 if held else 0
+    aside, fs = _fs(spark, f"{base}/.pointer-{uuid.uuid4().hex[:12]}")
+    fs.mkdirs(_fs(spark, f"{base}/{POINTER}")[0])
+    fs.create(aside).close()
+    if not fs.rename(aside, _fs(spark, f"{base}/{POINTER}/{number:012d}={version}")[0]):
+        raise RuntimeError(f"could not publish {version} below {base}")
+
+
 def current_version(spark: SparkSession, base: str) -> str | None:
-    try:
-        rows = spark.read.text(f"{base}/{POINTER}").limit(1).collect()
-    except AnalysisException:
-        return None
-    return rows[0][0] if rows else None
+    held = _pointers(spark, base)
+    return held[-1].split("=", 1)[1] if held else None
 
 
 def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame:
