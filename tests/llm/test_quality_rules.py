@@ -79,14 +79,14 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b " * 30), (3, "same text " * 9), (3, "same text " * 9), (4, long), (5, " ".join("abcdefghijklmnopqrstuvwxyz")), (6, " \n\t\n")]
     docs = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, words int, kept boolean")
     labels = spark.createDataFrame([(5, 1), (5, 1), (4, 0), (None, 1), (3, None)], "doc_id long, quality int")
-    compare(Q.judge(docs, labels), brute(rows, {5}, 32_768, 1.0, -0.05))
-    compare(Q.judge(docs, labels.limit(0)), brute(rows, set(), 32_768, 1.0, -0.05))
+    compare(Q.judge(docs, labels), brute(rows, {5}, 8192, 1.0, -0.05))
+    compare(Q.judge(docs, labels.limit(0)), brute(rows, set(), 8192, 1.0, -0.05))
     assert Q.judge(docs.limit(0), labels).collect() == []
-    assert Q.kept_documents(docs, labels).collect() == [r for r in docs.collect() if r.doc_id in {w[0] for w in brute(rows, {5}, 32_768, 1.0, -0.05) if w[-1]}]
+    assert Q.kept_documents(docs, labels).collect() == [r for r in docs.collect() if r.doc_id in {w[0] for w in brute(rows, {5}, 8192, 1.0, -0.05) if w[-1]}]
 
 
 def test_clean_documents_stay(spark):
-    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     rows = Q.judge(docs, labels).join(labels, "doc_id").filter("NOT base_failed").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1

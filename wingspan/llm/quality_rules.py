@@ -6,7 +6,8 @@ n-grams of log(p_target / p_raw), so it doesn't grow with length; documents with
 kept, each by the same comparison, none drawn at random. Counts are exact whole numbers, so a score does not depend on
 how rows are dealt out.
 
-The counting rules need no shuffle: each row's windows of eight words are compared, by 64-bit hashes of their words' 64-bit hashes, within the row.
+Both counts are reduced to buckets within each task; only the join with the labels shuffles texts. The counting rules
+need no shuffle: each row's windows of eight words are compared, by 64-bit hashes of their words' 64-bit hashes, within the row.
 
 Cases: a null or empty text has no words, no symbols and no lines with words; it fails the base rules (under 20 words)
 and its score is 0. A null doc_id is never trusted. Repeated rows count and are judged each. A doc_id labelled good
@@ -98,7 +99,9 @@ def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> list[float]:
     """For every bucket log(p_target / p_raw), all 0 if nothing is trusted. As many numbers as buckets come to the driver."""
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("good_id"))
-    trusted = docs.join(good, docs["doc_id"].cast("long") == good["good_id"], "left_semi")
+    # labels grow with the documents: one plan at every size, which shuffles both sides and splits a frequent doc_id
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    trusted = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
     counts = bucket_counts(docs, buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target")).union(
         bucket_counts(trusted, buckets).select("bucket", F.lit(0).cast("long"), "n")
     )
@@ -119,18 +122,17 @@ def _scored(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float, thr
     ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, buckets, smooth)))), ",").cast("array<double>")
     total = F.aggregate("grams", F.lit(0.0), lambda a, h: a + F.get(ratios, _bucket(h, buckets)))
     rows = rows.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("ones", "twos", "grams")
+    # behind a generator: Spark would push a filter on these columns down and write each array out again wherever it stands
+    return rows.select(F.inline_outer(F.array(F.struct("*"))))
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): the signals, base_failed, score and kept. ``labels``: doc_id, quality."""
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     return _scored(docs, labels, buckets, smooth, threshold).select(*names)
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns as they were."""
-    rows = _scored(docs, labels, buckets, smooth, threshold)
-    # not a filter on kept: Spark would push it below the projections and write each of their arrays out many times
-    held = rows.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).filter("row IS NOT NULL")
-    return held.select("row.*")
+    return _scored(docs, labels, buckets, smooth, threshold).filter("kept").select("row.*")
