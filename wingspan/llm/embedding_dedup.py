@@ -5,10 +5,11 @@ vectors form one class, found by grouping, so a vector that a third of all rows
 
 Index. Labels with more than ``shard_rows`` classes are cut into clusters around centroids, fitted by k-means on at most
 about ``fit_rows`` rows in all and at most ``most_centroids`` centroids in all; every class is placed, in its
-``overlap`` nearest clusters. A cluster that is still over twice ``shard_rows`` (a crowd of near copies, say) is cut into
+nearest cluster and in those whose border with it is at most ``margin`` away. A cluster that is still over twice ``shard_rows`` (a crowd of near copies, say) is cut into
 chunks by hash, and every pair of chunks is a shard. In each shard, every node's nearest candidates are pruned robustly:
 the nearest stays, candidates nearer to it than to the node (by the factor ``alpha``) go, and so on up to ``degree``
-edges. The lists of a class from all its shards are united: one flat graph.
+edges; a node that few edges lead to is added to the lists of its nearest neighbours, so that a walk can come to it. The
+lists of a class from all its shards are united: one flat graph.
 
 Search. Each class is searched in the cluster it is nearest to (in all shards of that cluster, if it is cut): a greedy
 walk with a beam from the shard's medoid and from the class's own node, then the range is expanded: nodes within reach
@@ -88,8 +89,20 @@ def fit_centroids(classes: DataFrame, shard_rows: int, fit_rows: int, most_centr
     return {s: _centroids(_unit(rows), min(want[s], len(rows))) for s, rows in sample.items()}
 
 
-def _placed(batches: Iterator[pa.RecordBatch], centroids: dict[str, np.ndarray], overlap: int) -> Iterator[pa.RecordBatch]:
+def clusters_of(x: np.ndarray, c: np.ndarray, apart: np.ndarray, margin: float) -> list[int]:
+    """The nearest cluster of x, then those whose border with it is at most ``margin`` away.
+
+    A linked vector lies sqrt(2 - 2 * threshold) away at most, so with a margin of as much no linked pair is parted.
+    """
+    sim = c @ x
+    home = int(np.argmax(sim))
+    border = (sim[home] - sim) / np.maximum(apart[home], 1e-9)
+    return [home, *(k for k in np.flatnonzero(border <= margin).tolist() if k != home)]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], centroids: dict[str, np.ndarray], margin: float) -> Iterator[pa.RecordBatch]:
     names = ["space", "cluster", "home", "node", "n", "vec"]
+    apart = {s: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for s, c in centroids.items()}
     for batch in batches:
         space, nodes, n, vec = (batch.column(i).to_pylist() for i in range(4))
         raw = [np.array(v, "<f8").tobytes() for v in vec]
@@ -97,7 +110,7 @@ def _placed(batches: Iterator[pa.RecordBatch], centroids: dict[str, np.ndarray],
         for i, s in enumerate(space):
             near = [0]
             if (c := centroids.get(s)) is not None:
-                near = np.argsort(-(c @ _unit([raw[i]])[0]), kind="stable")[:overlap].tolist()
+                near = clusters_of(_unit([raw[i]])[0], c, apart[s], margin)
             for rank, cluster in enumerate(near):
                 for column, value in zip(out, (s, cluster, rank == 0, nodes[i], n[i], raw[i]), strict=True):
                     column.append(value)
@@ -107,10 +120,10 @@ def _placed(batches: Iterator[pa.RecordBatch], centroids: dict[str, np.ndarray],
         )
 
 
-def shards(classes: DataFrame, centroids: dict[str, np.ndarray], shard_rows: int, overlap: int) -> DataFrame:
+def shards(classes: DataFrame, centroids: dict[str, np.ndarray], shard_rows: int, margin: float) -> DataFrame:
     """(space, cluster, i, j, chunk, home, node, n, vec): the members of every shard."""
     placed = classes.select("space", "node", "n", "embedding").mapInArrow(
-        partial(_placed, centroids=centroids, overlap=overlap), "space string, cluster int, home boolean, node long, n long, vec binary"
+        partial(_placed, centroids=centroids, margin=margin), "space string, cluster int, home boolean, node long, n long, vec binary"
     )
     placed = cut(placed)
     large = placed.groupBy("space", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * shard_rows)
@@ -154,9 +167,19 @@ def robust_prune(x: np.ndarray, degree: int, candidates: int, alpha: float) -> l
     return edges
 
 
+def with_back_edges(edges: list[np.ndarray], least: int = 4) -> list[np.ndarray]:
+    """The same lists, with every node that fewer than ``least`` edges lead to added to its own nearest neighbours' lists."""
+    found = np.bincount(np.concatenate(edges).astype(np.int64), minlength=len(edges))
+    more: dict[int, list[int]] = {}
+    for i in np.flatnonzero(found < least).tolist():
+        for j in edges[i][:least].tolist():
+            more.setdefault(j, []).append(i)
+    return [np.unique(np.r_[e, more[i]]).astype(np.int64) if i in more else e for i, e in enumerate(edges)]
+
+
 def _edges(batches: Iterator[pa.RecordBatch], degree: int, candidates: int, alpha: float) -> Iterator[pa.RecordBatch]:
     for g in sorted_groups(batches, SHARD, least=2):
-        found = robust_prune(_unit(g["vec"]), degree, candidates, alpha)
+        found = with_back_edges(robust_prune(_unit(g["vec"]), degree, candidates, alpha))
         for at in range(0, len(found), 2048):
             lists = [g["node"][e] for e in found[at : at + 2048]]
             yield pa.RecordBatch.from_arrays([pa.array(g["node"][at : at + 2048]), pa.array(lists, pa.list_(pa.int64()))], ["node", "edges"])
@@ -297,12 +320,12 @@ def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, audit_r
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
-    shard_rows: int = 2000,
-    overlap: int = 4,
-    degree: int = 24,
-    candidates: int = 64,
+    shard_rows: int = 1000,
+    margin: float = 0.1,
+    degree: int = 16,
+    candidates: int = 48,
     alpha: float = 1.2,
-    beam: int = 16,
+    beam: int = 8,
     slack: float = 0.04,
     fit_rows: int = 20_000,
     most_centroids: int = 2048,
@@ -311,7 +334,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (columns vec_id, embedding, label)."""
     classes = cut(classes_of(vectors))
-    members = cut(shards(classes, fit_centroids(classes, shard_rows, fit_rows, most_centroids), shard_rows, overlap))
+    members = cut(shards(classes, fit_centroids(classes, shard_rows, fit_rows, most_centroids), shard_rows, margin))
     spread = members.repartition(*SHARD).sortWithinPartitions(*SHARD, "node")
     graph = spread.select(*SHARD, "node", "vec").mapInArrow(
         partial(_edges, degree=degree, candidates=candidates, alpha=alpha), "node long, edges array<long>"
@@ -325,7 +348,7 @@ def near_duplicates(
     walked = cut(walked)
     links = cut(walked.groupBy("node").agg(F.sum("links").alias("links")))
     if (recall := audit_recall(classes, links, threshold, audit_rows)) < least_recall:
-        raise RuntimeError(f"the graph found {recall:.3f} of the audited links; raise overlap, degree or beam")
+        raise RuntimeError(f"the graph found {recall:.3f} of the audited links; raise margin, degree or beam")
     tied = components(walked.select(F.col("node").alias("a"), F.col("tied").alias("b")))
     rooted = classes.join(tied, "node").select("node", "low", "root")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
