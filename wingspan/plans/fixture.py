@@ -2,10 +2,10 @@
 
 One fact row per ``lineitem`` row:
 
-* airline = supplier, origin airport = the supplier's nation,
-  destination airport = the ordering customer's nation;
-* latitude / longitude are a function of the nation key, distance is the
-  great-circle distance between them;
+* airline = supplier, origin airport = the supplier's own, destination airport
+  = the ordering customer's own, so hubs and routes grow with the data;
+* city, country, region, latitude and longitude are those of their nations,
+  distance is the great-circle distance between these;
 * seats = 10 x quantity, aircraft = part type, codeshare = returned line,
   stops = line number - 1, flight date = ship date.
 
@@ -59,8 +59,8 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def airport_code(nationkey) -> "F.Column":
-    return F.concat(F.lit("A"), F.lpad(nationkey.cast("string"), 3, "0"))
+def airport_code(kind: str, key) -> "F.Column":
+    return F.concat(F.lit(kind), F.lpad(key.cast("string"), 6, "0"))
 
 
 def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) -> DataFrame:
@@ -81,7 +81,7 @@ def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) ->
     dg = geo.select([F.col(c).alias(f"d_{c}") for c in geo.columns])
 
     dest = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "c_nationkey"
+        "o_orderkey", "c_custkey", "c_nationkey"
     )
     j = (
         li.join(dest, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -97,13 +97,13 @@ def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) ->
         "flight_number": F.concat(
             F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")
         ),
-        "origin_airport": airport_code(F.col("o_nk")),
+        "origin_airport": airport_code("A", F.col("l_suppkey")),
         "origin_city": F.col("o_name"),
         "origin_country": F.col("o_name"),
         "origin_region": F.col("o_region"),
         "origin_latitude": F.col("o_lat"),
         "origin_longitude": F.col("o_lon"),
-        "destination_airport": airport_code(F.col("d_nk")),
+        "destination_airport": airport_code("C", F.col("c_custkey")),
         "destination_city": F.col("d_name"),
         "destination_country": F.col("d_name"),
         "destination_region": F.col("d_region"),
@@ -136,7 +136,7 @@ def _inputs_key(spark: SparkSession, sf_dir: str) -> str:
     changed derivation never reuses an old table."""
     h = hashlib.sha1(f"{sf_dir.rstrip('/')} {S.FACT_PARTITION_COLUMNS}".encode())
     h.update(inspect.getsource(flights_frame).encode())
-    h.update(inspect.getsource(geography).encode())
+    h.update(inspect.getsource(geography).encode() + inspect.getsource(airport_code).encode())
     for name in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
         h.update(f"{name}:{_stat(spark, f'{sf_dir.rstrip(chr(47))}/{name}.parquet')}".encode())
     return h.hexdigest()[:16]

@@ -34,10 +34,10 @@ FLIGHTS = f"""flights AS (
     'S' || lpad(CAST(l.l_suppkey AS VARCHAR), 6, '0') AS airline_code,
     s.s_name AS airline_name,
     'S' || CAST(l.l_suppkey AS VARCHAR) || '-' || CAST(l.l_partkey AS VARCHAR) AS flight_number,
-    'A' || lpad(CAST(og.nk AS VARCHAR), 3, '0') AS origin_airport,
+    'A' || lpad(CAST(l.l_suppkey AS VARCHAR), 6, '0') AS origin_airport,
     og.name AS origin_city, og.name AS origin_country, og.region AS origin_region,
     og.lat AS origin_latitude, og.lon AS origin_longitude,
-    'A' || lpad(CAST(dg.nk AS VARCHAR), 3, '0') AS destination_airport,
+    'C' || lpad(CAST(c.c_custkey AS VARCHAR), 6, '0') AS destination_airport,
     dg.name AS destination_city, dg.name AS destination_country, dg.region AS destination_region,
     dg.lat AS destination_latitude, dg.lon AS destination_longitude,
     CAST({_hav('og.lat', 'og.lon', 'dg.lat', 'dg.lon')} AS DECIMAL(10,2)) AS distance_km,
