@@ -73,9 +73,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = print_of(star)
     while mark[0]:
         both = star.union(star.select("b", "a"))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
+        # the least neighbours are written out, so that each join stands right on two shuffles and Spark can split a hot node
+        low = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("low")))
         star = cut(
             large.join(low, "a")
             .select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))

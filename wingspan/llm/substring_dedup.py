@@ -79,6 +79,7 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFram
     )
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
     first = places.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = cut(first)  # so that the join stands right on two shuffles and Spark can split a digest of many places
     later = places.join(first, ["d1", "d2"]).filter(place != F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
