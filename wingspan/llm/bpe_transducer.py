@@ -64,6 +64,8 @@ class Vocabulary:
         self.first = np.array([vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]).tolist()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
         self.merge_of = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank_of = {pair: rank for pair, (rank, _) in self.merge_of.items()}
+        self.made_by = {rank: new for rank, new in self.merge_of.values()}
         self._spec, self._splitter = spec, None
 
     def split(self, text: str) -> list[str]:
@@ -85,14 +87,18 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word, by merging the pair of lowest rank, the leftmost of equal ones, until none is left."""
         ids = [self.first[b] for b in word]
-        get = self.merge_of.get
         if len(ids) > 40:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = min((get(p, (1 << 60, 0)), i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            ids[at : at + 2] = [best[1]]
+        get, made_by, none = self.rank_of.get, self.made_by, 1 << 60
+        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]  # of each pair of neighbours
+        while ranks and (low := min(ranks)) != none:
+            at = ranks.index(low)
+            ids[at : at + 2] = [made_by[low]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((ids[at - 1], ids[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((ids[at], ids[at + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:

@@ -23,7 +23,7 @@ class _Rows(dict):
 class WordTable:
     """Ids of the words met so far. ``encode`` gives the ids of each of some words; at most about ``limit`` are held."""
 
-    def __init__(self, encode: Callable[[list], Iterable], limit: int = 300_000, strings: bool = False) -> None:
+    def __init__(self, encode: Callable[[list], Iterable], limit: int = 600_000, strings: bool = False) -> None:
         self.encode, self.limit, self.strings = encode, limit, strings
         self._clear()
 
