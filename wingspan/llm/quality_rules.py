@@ -9,6 +9,12 @@ how rows are dealt out.
 Both counts are reduced to buckets within each task; only the join with the labels shuffles texts. The counting rules
 need no shuffle: each row's windows of eight words are compared, by 64-bit hashes of their words' 64-bit hashes, within the row.
 
+``judge_left_out`` scores each document against the counts of all others: its own n-grams are taken out of the raw counts
+and, if it is trusted, out of the target, so that words seen seldom are not held against the document that has them. The
+raw counts are smoothed by ``smooth`` times raw / target, so an n-gram that no other document has speaks neither way. Its
+threshold is the greatest multiple of 1 / BINS under which at most ``lost_share`` of the trusted documents that pass
+the base rules score; with no such document none fails by its score. Copies of a document are other documents.
+
 Cases: a null or empty text has no words, no symbols and no lines with words; it fails the base rules (under 20 words)
 and its score is 0. A null doc_id is never trusted. Repeated rows count and are judged each. A doc_id labelled good
 anywhere in ``labels`` is trusted, however often. With no trusted rows no document fails by its score. Other columns are
@@ -22,7 +28,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wingspan.llm.common import cut
+
 WINDOW = 8
+#: Steps of the left-out threshold in a unit of score.
+BINS = 1000
+_SIGNALS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 _SPACE = r"[\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -96,9 +107,13 @@ def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return grams.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> list[float]:
-    """For every bucket log(p_target / p_raw), all 0 if nothing is trusted. As many numbers as buckets come to the driver."""
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("good_id"))
+def _good_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("good_id"))
+
+
+def _counts(docs: DataFrame, labels: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """For every bucket how often it stands in all texts and in the trusted ones. As many numbers as buckets come to the driver."""
+    good = _good_ids(labels)
     # labels grow with the documents: one plan at every size, which shuffles both sides and splits a frequent doc_id
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trusted = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
@@ -108,18 +123,28 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float)
     raw, target = [0] * buckets, [0] * buckets
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
+    return raw, target
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> list[float]:
+    """For every bucket log(p_target / p_raw), all 0 if nothing is trusted."""
+    raw, target = _counts(docs, labels, buckets)
     raws, targets = sum(raw) + smooth * buckets, sum(target) + smooth * buckets
     if not any(target):
         return [0.0] * buckets
     return [math.log((t + smooth) / targets) - math.log((r + smooth) / raws) for r, t in zip(raw, target, strict=True)]
 
 
+def _constant(numbers: list) -> Column:
+    """As a constant, which Spark folds into one array."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
+
+
 def _scored(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float, threshold: float) -> DataFrame:
     if buckets & (buckets - 1):
         raise ValueError("buckets is a power of two")
     rows = signals(docs).withColumn("grams", F.concat("ones", "twos"))
-    # as a constant, which Spark folds into one array
-    ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, buckets, smooth)))), ",").cast("array<double>")
+    ratios = _constant(log_ratios(docs, labels, buckets, smooth))
     total = F.aggregate("grams", F.lit(0.0), lambda a, h: a + F.get(ratios, _bucket(h, buckets)))
     rows = rows.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("ones", "twos", "grams")
@@ -129,8 +154,65 @@ def _scored(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float, thr
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): the signals, base_failed, score and kept. ``labels``: doc_id, quality."""
-    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    return _scored(docs, labels, buckets, smooth, threshold).select(*names)
+    return _scored(docs, labels, buckets, smooth, threshold).select(*_SIGNALS, "score", "kept")
+
+
+def _left_out_scores(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> DataFrame:
+    """(the signals, trusted, score) for every row, each scored against the counts of all other rows."""
+    raw, target = _counts(docs, labels, buckets)
+    raws, targets = sum(raw), sum(target)
+    rows = signals(docs).withColumn("cells", F.sort_array(F.transform(F.concat("ones", "twos"), lambda h: _bucket(h, buckets))))
+    rows = rows.select(*_SIGNALS, "cells", F.size("cells").alias("n"))
+    if targets:
+        raw_smooth = smooth * raws / targets
+        in_raw, in_target = _constant(raw), _constant(target)
+
+        def ended(s: Column) -> tuple[Column, ...]:
+            """The sums with the run that the state holds: of logs of the others' counts, in the raw corpus and in the target if not trusted or trusted."""
+            r, t = F.get(in_raw, s["cell"]), F.get(in_target, s["cell"])
+            logs = (F.log(r - s["c"] + raw_smooth), F.log(t + smooth), F.log(F.greatest(t - s["c"], F.lit(0.0)) + smooth))
+            return tuple((s[k] + s["c"] * x).alias(k) for k, x in zip(("raw", "plain", "own"), logs, strict=True))
+
+        def step(s: Column, x: Column) -> Column:
+            more = F.struct(s["cell"].alias("cell"), (s["c"] + 1).alias("c"), s["raw"].alias("raw"), s["plain"].alias("plain"), s["own"].alias("own"))
+            return F.when(x == s["cell"], more).otherwise(F.struct(x.alias("cell"), F.lit(1.0).alias("c"), *ended(s)))
+
+        start = F.struct(F.get("cells", F.lit(0)).alias("cell"), *(F.lit(0.0).alias(k) for k in ("c", "raw", "plain", "own")))
+        # runs of equal cells; the -1 ends the last one
+        rows = rows.withColumn("logs", F.when(F.col("n") > 0, F.aggregate(F.concat("cells", F.array(F.lit(-1))), start, step)))
+        mean_raw = F.col("logs.raw") / F.col("n") - F.log(F.lit(float(raws)) - F.col("n") + raw_smooth * buckets)
+        plain = F.col("logs.plain") / F.col("n") - F.log(F.lit(targets + smooth * buckets)) - mean_raw
+        own = F.col("logs.own") / F.col("n") - F.log(F.greatest(F.lit(float(targets)) - F.col("n"), F.lit(0.0)) + smooth * buckets) - mean_raw
+        rows = rows.select(*_SIGNALS, F.coalesce(plain, F.lit(0.0)).alias("plain"), F.coalesce(own, F.lit(0.0)).alias("own"))
+    else:
+        rows = rows.select(*_SIGNALS, F.lit(0.0).alias("plain"), F.lit(0.0).alias("own"))
+    # the ids are written out, so that the join stands right on two shuffles and Spark can split a frequent doc_id; no texts go
+    good = cut(_good_ids(labels).filter("good_id IS NOT NULL").distinct())
+    rows = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    trusted = F.col("good_id").isNotNull()
+    return rows.select(*_SIGNALS, trusted.alias("trusted"), F.when(trusted, F.col("own")).otherwise(F.col("plain")).alias("score"))
+
+
+def _lost_threshold(rows: DataFrame, lost_share: float) -> float | None:
+    """The greatest multiple of 1 / BINS under which at most this share of the trusted rows that pass the base rules score."""
+    bins = rows.filter("trusted AND NOT base_failed").groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    held = sorted((r.bin, r.n) for r in bins.collect())  # scores are logs of ratios of counts: some ten thousand bins at most
+    left = math.floor(lost_share * sum(n for _, n in held))
+    for b, n in held:
+        left -= n
+        if left < 0:
+            return b / BINS
+    return None
+
+
+def judge_left_out(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, lost_share: float = 0.005) -> DataFrame:
+    """As ``judge``, each row scored against all others and the threshold taken from the trusted rows' scores."""
+    if buckets & (buckets - 1):
+        raise ValueError("buckets is a power of two")
+    rows = cut(_left_out_scores(docs, labels, buckets, smooth))
+    threshold = _lost_threshold(rows, lost_share)
+    above = F.lit(True) if threshold is None else F.col("score") >= threshold
+    return rows.select(*_SIGNALS, "score", (~F.col("base_failed") & above).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:

@@ -47,7 +47,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge_left_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
