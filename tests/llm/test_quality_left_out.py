@@ -61,3 +61,11 @@ def test_unlabelled_prose_stays_in_every_language(spark, sf):
     rows = rows.join(labels, "doc_id", "left_anti").filter("NOT base_failed AND n_symbols = 0")
     lost = {r.lang: r.lost for r in rows.groupBy("lang").agg(F.avg((~F.col("kept")).cast("int")).alias("lost")).collect()}
     assert len(lost) == 4 and max(lost.values()) < 0.1, lost
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_good_stay_and_bad_go(spark, sf):
+    labels = table(spark, f"/root/testdata/{sf}", "labels")
+    rows = REGISTRY["op6_quality_rules"](spark, f"/root/testdata/{sf}").join(labels, "doc_id").filter("NOT base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1

@@ -205,7 +205,7 @@ def _lost_threshold(rows: DataFrame, lost_share: float) -> float | None:
     return None
 
 
-def judge_left_out(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, lost_share: float = 0.005) -> DataFrame:
+def judge_left_out(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, lost_share: float = 0.005) -> DataFrame:
     """As ``judge``, each row scored against all others and the threshold taken from the trusted rows' scores."""
     if buckets & (buckets - 1):
         raise ValueError("buckets is a power of two")
