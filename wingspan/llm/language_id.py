@@ -4,8 +4,9 @@ A text's 1- to 3-grams of lower-cased letters (runs of letters with a blank at b
 features. Weights are 1 + log(count) times the inverse document frequency, which is counted over all labelled training
 rows, scaled to length 1. The model is trained with follow-the-regularised-leader (per-coordinate steps, elastic-net
 penalty ``l1`` and ``l2``, so most weights are exactly 0) on a bounded sample: about ``sample_rows`` labelled rows,
-as many of each language, chosen by a hash of doc_id and text. A quarter of them is kept from the training and sets one
-temperature, by which the class scores are divided before the softmax.
+as many of each language, or about ``least_rows`` of each where that is more, chosen by a hash of doc_id and text. Every
+label is learned, however rare; labels whose weights would pass ``most_weights`` fail the fit. A quarter of
+the sample is kept from the training and sets one temperature, by which the class scores are divided before the softmax.
 
 Rows are scored where they lie; the model (dims x languages numbers) goes with the task. Everything but the fit covers
 all rows. Languages are the distinct labels, told apart by code only.
@@ -149,7 +150,8 @@ def fit(
     dims: int = 1 << 13,
     sample_rows: int = 1600,
     train_share: float = 0.75,
-    most_languages: int = 64,
+    least_rows: int = 25,
+    most_weights: int = 1 << 23,
     l1: float = 0.02,
     l2: float = 0.5,
     alpha: float = 1.0,
@@ -158,13 +160,18 @@ def fit(
 ) -> Model:
     """A model from rows (doc_id, text, lang); rows without lang or without a letter are left out.
 
-    The bound of the fit: about ``sample_rows`` rows, as many of each of the ``most_languages`` most frequent labels,
-    chosen by a hash of doc_id and text. Document frequencies are counted over all rows.
+    The bound of the fit: about ``sample_rows`` rows, as many of each label, and about ``least_rows`` of each if that is
+    more, chosen by a hash of doc_id and text; at least one row of each. Document frequencies are counted over all rows.
+    A ValueError where labels times ``dims`` are over ``most_weights``, before anything is trained.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    place = F.col("hash").bitwiseAND(F.lit((1 << 63) - 1))
+    most = most_weights // dims
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} distinct labels: their weights on {dims} features pass most_weights = {most_weights}")
     counts = rows.select("text").mapInArrow(partial(_document_counts, dims=dims), "feature long, n long")
     of = {r.feature: r.n for r in counts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # dims + 1 rows at most
     idf = np.ones(dims)
@@ -173,14 +180,14 @@ def fit(
             idf[feature] = np.log((1 + of[-1]) / (1 + n)) + 1
     if not sizes:
         return Model([], idf, np.zeros((dims, 0)), np.zeros(0))
-    wanted = max(1, sample_rows // len(sizes))
-    # rows whose hash lies in a share of all hashes that leaves about ``wanted`` rows of their language
-    shares = spark.createDataFrame([(r.lang, min(1.0, wanted / r.n) * 2.0**63) for r in sizes], "lang string, below double")
-    chosen = rows.join(F.broadcast(shares), "lang").filter(F.col("hash").bitwiseAND(F.lit((1 << 63) - 1)) < F.col("below"))
+    wanted = max(least_rows, sample_rows // len(sizes))
+    # rows whose hash lies in a share of all hashes that leaves about ``wanted`` rows of their language, and the first one
+    shares = spark.createDataFrame([(r.lang, min(1.0, wanted / r.n) * 2.0**63, r["first"]) for r in sizes], "lang string, below double, first long")
+    chosen = rows.join(F.broadcast(shares), "lang").filter((place < F.col("below")) | (place == F.col("first")))
     sample = chosen.select("lang", "hash", "doc_id", "text").mapInArrow(
         partial(_sampled, dims=dims), "lang string, hash long, doc_id long, held binary, counts binary"
     )
-    sample = sample.dropDuplicates(["lang", "hash", "doc_id"]).orderBy("hash", "doc_id", "lang").limit(2 * sample_rows)
+    sample = sample.dropDuplicates(["lang", "hash", "doc_id"]).orderBy("hash", "doc_id", "lang").limit(2 * max(sample_rows, wanted * len(sizes)))
     of_language: dict[str, list] = {}
     for r in sample.collect():
         of_language.setdefault(r.lang, []).append((r.lang, np.frombuffer(r.held, "<i4"), np.frombuffer(r.counts, "<i4")))
