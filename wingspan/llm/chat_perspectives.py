@@ -6,7 +6,8 @@ turns are rendered as such in every view and give no view of their own.
 
 Turns stand in the order of their number (null first), then speaker, then text. A conversation is rendered in blocks of
 ``block_turns`` numbers, a row for each view and block, so that one conversation of very many turns is not gathered in one
-place; short conversations have one block. A view is its blocks' texts one after the other; spans count characters of
+place; short conversations have one block. Turns of one conversation that repeat a number, or have none, share a block
+however many they are: such a row grows with them, in time that grows as they do. A view is its blocks' texts one after the other; spans count characters of
 their own block.
 
 Cases: a null role is the speaker ``unknown``; a null text is empty. Rows with null conv_id are one conversation. Repeated
@@ -16,10 +17,12 @@ read, so their names can't clash. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
+ASSISTANT = "<|assistant|>\n"
+SYSTEM = "<|system|>\n"
 
 
 def views(turns: DataFrame, block_turns: int = 512, system_role: str = "system") -> DataFrame:
@@ -31,37 +34,29 @@ def views(turns: DataFrame, block_turns: int = 512, system_role: str = "system")
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.floor(F.col("turn") / block_turns).cast("long").alias("block"),
     )
-    blocks = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = rows.filter(F.col("role") != system_role).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
+    user = lambda role: F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
+    others = F.when(F.col("role") == system_role, F.lit(SYSTEM)).otherwise(user(F.col("role")))
+    size = (F.length(others) + F.length("text") + len(END)).cast("long")
+    # where a turn begins if no turn is the assistant's, and how many turns of its speaker stand before it in the block
+    before = lambda *keys: Window.partitionBy("conv_id", "block", *keys).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before()), F.lit(0))).withColumn("nth", F.count("*").over(before("role")))
+    blocks = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "nth"))).alias("turns"))
+    speakers = turns.select("conv_id", F.coalesce("role", F.lit("unknown")).alias("role")).filter(F.col("role") != system_role).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
     speakers = speakers.withColumnRenamed("conv_id", "of_conv")
     seen = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_conv"))).select(
         "conv_id", "block", "turns", F.explode("speakers").alias("perspective")
     )
     own = lambda t: t["role"] == F.col("perspective")
     head = lambda t: (
-        F.when(own(t), F.lit("<|assistant|>\n"))
-        .when(t["role"] == system_role, F.lit("<|system|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
+        F.when(own(t), F.lit(ASSISTANT)).when(t["role"] == system_role, F.lit(SYSTEM)).otherwise(user(t["role"]))
     )
-    seen = seen.withColumn(
-        "parts",
-        F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), own(t).alias("own"))),
+    longer = F.lit(len(ASSISTANT)) - F.length(user(F.col("perspective")))  # by so much is each of the assistant's own turns
+    begin = lambda t: t["start"] + t["nth"] * longer + len(ASSISTANT)
+    mask = F.transform(
+        F.filter("turns", own),
+        lambda t: F.struct(begin(t).alias("start"), (begin(t) + F.length(t["text"]) + len(END) - 1).alias("end")),
     )
-    size = lambda p: F.length(p["head"]) + F.length(p["body"])
-    starts = F.aggregate(
-        "parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + size(p)))
-    )  # the start of every part; a block bounds its length
-    seen = seen.withColumn("starts", starts)
-    spans = F.transform(
-        "parts",
-        lambda p, i: F.struct(
-            (F.get("starts", i) + F.length(p["head"])).cast("long").alias("start"),
-            (F.get("starts", i) + size(p) - 1).cast("long").alias("end"),
-            p["own"].alias("own"),
-        ),
-    )
-    mask = F.transform(F.filter(spans, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
     return seen.select("conv_id", "perspective", "block", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), mask.alias("mask"))
 
 
