@@ -18,6 +18,7 @@ from wingspan.llm import (
     quality_rules,
     simhash_dedup,
     substring_dedup,
+    token_alignment,
     token_counts,
 )
 from wingspan.llm.common import table
@@ -71,6 +72,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.measures(table(spark, sf_dir, "documents"), *both)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +90,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_packing,
         op10_embedding_dedup,
+        op13_token_alignment,
     )
 }
 
