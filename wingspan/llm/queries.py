@@ -17,6 +17,7 @@ from wingspan.llm import (
     packing,
     quality_rules,
     simhash_dedup,
+    spelling_variants,
     substring_dedup,
     token_alignment,
     token_counts,
@@ -72,6 +73,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, twice=2)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_alignment.measures(table(spark, sf_dir, "documents"), *both)
@@ -90,6 +95,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_packing,
         op10_embedding_dedup,
+        op12_spelling_variants,
         op13_token_alignment,
     )
 }
@@ -97,4 +103,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_chat_perspectives": chat_perspectives.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
 }
