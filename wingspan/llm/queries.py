@@ -21,6 +21,7 @@ from wingspan.llm import (
     substring_dedup,
     token_alignment,
     token_counts,
+    toxicity,
 )
 from wingspan.llm.common import table
 
@@ -73,6 +74,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, twice=2)
 
@@ -95,6 +100,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_packing,
         op10_embedding_dedup,
+        op11_toxicity,
         op12_spelling_variants,
         op13_token_alignment,
     )
