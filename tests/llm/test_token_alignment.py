@@ -78,13 +78,13 @@ def test_units_give_whole_encodings(text):
     assert "".join(units) == " " + text
     if not text:
         return
-    both = list(ALIGNER.encode(units))
-    assert [i for a, _ in both for i in a] == A.encode(" " + text, add_special_tokens=False).ids
-    assert [i for _, b in both for i in b] == B.encode(text)
+    of_a, of_b = ALIGNER.encode(units)
+    assert [i for a in of_a for i in a] == A.encode(" " + text, add_special_tokens=False).ids
+    assert [i for b in of_b for i in b] == B.encode(text)
 
 
 def test_special_strings_are_plain_text():
-    a, b = next(ALIGNER.encode([" <|endoftext|><s></s>"]))
+    (a,), (b,) = ALIGNER.encode([" <|endoftext|><s></s>"])
     assert 50256 not in a and not {1, 2} & set(b)
 
 
