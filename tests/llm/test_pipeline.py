@@ -39,7 +39,7 @@ def test_stages(spark, tmp_path):
             low = test_simhash_dedup.brute_components([test_simhash_dedup.brute_fingerprint(r[1]) for r in rows.values()], list(rows))
             rows = {d: r for (d, r), c in zip(rows.items(), low, strict=True) if d == c}
         elif name == "substring_dedup":
-            texts = test_substring_dedup.brute([(d, r[1]) for d, r in rows.items()], 5)
+            texts = test_substring_dedup.brute_runs([(d, r[1]) for d, r in rows.items()], 2, 30)
             rows = {d: (d, texts[d], r[2], r[3], len(texts[d])) for d, r in rows.items()}
         if name != "packing":
             assert docs.columns == C.COLUMNS

@@ -58,7 +58,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), unit="line", min_words=5)
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), unit="phrase", min_words=2, min_run=30)
     spans = F.coalesce("spans", F.array())
     return found.select(
         "doc_id", "text", "n_units", F.size(spans).cast("long").alias("n_removed"),
