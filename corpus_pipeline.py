@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash_dedup.one_of_each_group(docs.select(*COLUMNS), words_per_shingle=4, max_bits=4)
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of five words or more stay where they stand first; n_chars follows the text. No document goes."""
-    kept = substring_dedup.dedup(docs, unit="line", min_words=5, carry=("lang", "source"))
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 30 words and more of phrases that stand in an earlier place go; n_chars follows the text. No document goes."""
+    kept = substring_dedup.dedup(docs, unit="phrase", min_words=2, min_run=30, carry=("lang", "source"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -47,7 +47,7 @@ STAGES = [
     ("quality_rules", quality),
     ("language_id", language),
     ("simhash_dedup", near_duplicates),
-    ("substring_dedup", repeated_lines),
+    ("substring_dedup", repeated_passages),
     ("packing", packed),
 ]
 
