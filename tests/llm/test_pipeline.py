@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 import test_packing
-import test_quality_rules
+import test_quality_left_out
 import test_simhash_dedup
 import test_substring_dedup
 
@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
         before, docs = docs, spark.read.parquet(str(tmp_path / name))
         out[name] = docs
         if name == "quality_rules":
-            judged = test_quality_rules.brute([(d, r[1]) for d, r in rows.items()], good, 8192, 1.0, -0.05)
+            judged = test_quality_left_out.brute([(d, r[1]) for d, r in rows.items()], good, 32_768, 1.0, 0.005)
             rows = {d: rows[d] for d in (j[0] for j in judged if j[-1])}
         elif name == "language_id":
             model = language_id.fit(before.filter(~language_id.held_out()))

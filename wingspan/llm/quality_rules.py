@@ -158,39 +158,51 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float
 
 
 def _left_out_scores(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float) -> DataFrame:
-    """(the signals, trusted, score) for every row, each scored against the counts of all other rows."""
+    """(the signals, text_hash, trusted, score) for every row, each scored against the counts of all other rows."""
     raw, target = _counts(docs, labels, buckets)
     raws, targets = sum(raw), sum(target)
     rows = signals(docs).withColumn("cells", F.sort_array(F.transform(F.concat("ones", "twos"), lambda h: _bucket(h, buckets))))
-    rows = rows.select(*_SIGNALS, "cells", F.size("cells").alias("n"))
+    rows = rows.select(*_SIGNALS, F.xxhash64("row.text").alias("text_hash"), "cells", F.size("cells").alias("n"))
     if targets:
         raw_smooth = smooth * raws / targets
+        # the logs of a cell that a text has once, which most are, are looked up; cells that it has again correct them
+        less = lambda n, c: max(n - c, 0)
+        once_raw = [math.log(less(r, 1) + raw_smooth) for r in raw]
+        once = {
+            "plain": [math.log(t + smooth) - x for t, x in zip(target, once_raw, strict=True)],
+            "own": [math.log(less(t, 1) + smooth) - x for t, x in zip(target, once_raw, strict=True)],
+        }
         in_raw, in_target = _constant(raw), _constant(target)
 
         def ended(s: Column) -> tuple[Column, ...]:
-            """The sums with the run that the state holds: of logs of the others' counts, in the raw corpus and in the target if not trusted or trusted."""
-            r, t = F.get(in_raw, s["cell"]), F.get(in_target, s["cell"])
-            logs = (F.log(r - s["c"] + raw_smooth), F.log(t + smooth), F.log(F.greatest(t - s["c"], F.lit(0.0)) + smooth))
-            return tuple((s[k] + s["c"] * x).alias(k) for k, x in zip(("raw", "plain", "own"), logs, strict=True))
+            """The corrections with the run of one cell that the state holds; the text has it ``again`` + 1 times."""
+            r, t, c = F.get(in_raw, s["cell"]), F.get(in_target, s["cell"]), s["again"] + 1
+            of_raw = F.log((F.greatest(r - 1, F.lit(0.0)) + raw_smooth) / (F.greatest(r - c, F.lit(0.0)) + raw_smooth))
+            of_target = F.log((F.greatest(t - c, F.lit(0.0)) + smooth) / (F.greatest(t - 1, F.lit(0.0)) + smooth))
+            return (s["plain"] + c * of_raw).alias("plain"), (s["own"] + c * (of_raw + of_target)).alias("own")
 
         def step(s: Column, x: Column) -> Column:
-            more = F.struct(s["cell"].alias("cell"), (s["c"] + 1).alias("c"), s["raw"].alias("raw"), s["plain"].alias("plain"), s["own"].alias("own"))
-            return F.when(x == s["cell"], more).otherwise(F.struct(x.alias("cell"), F.lit(1.0).alias("c"), *ended(s)))
+            more = F.struct(s["cell"].alias("cell"), (s["again"] + 1).alias("again"), s["plain"].alias("plain"), s["own"].alias("own"))
+            return F.when(x == s["cell"], more).otherwise(F.struct(x.alias("cell"), F.lit(1.0).alias("again"), *ended(s)))
 
-        start = F.struct(F.get("cells", F.lit(0)).alias("cell"), *(F.lit(0.0).alias(k) for k in ("c", "raw", "plain", "own")))
+        rows = rows.withColumn("more", F.filter("cells", lambda x, i: x == F.get("cells", i - 1)))
+        start = F.struct(F.get("more", F.lit(0)).alias("cell"), *(F.lit(0.0).alias(k) for k in ("again", "plain", "own")))
         # runs of equal cells; the -1 ends the last one
-        rows = rows.withColumn("logs", F.when(F.col("n") > 0, F.aggregate(F.concat("cells", F.array(F.lit(-1))), start, step)))
-        mean_raw = F.col("logs.raw") / F.col("n") - F.log(F.lit(float(raws)) - F.col("n") + raw_smooth * buckets)
-        plain = F.col("logs.plain") / F.col("n") - F.log(F.lit(targets + smooth * buckets)) - mean_raw
-        own = F.col("logs.own") / F.col("n") - F.log(F.greatest(F.lit(float(targets)) - F.col("n"), F.lit(0.0)) + smooth * buckets) - mean_raw
-        rows = rows.select(*_SIGNALS, F.coalesce(plain, F.lit(0.0)).alias("plain"), F.coalesce(own, F.lit(0.0)).alias("own"))
+        rows = rows.withColumn("corrected", F.when(F.size("more") > 0, F.aggregate(F.concat("more", F.array(F.lit(-1))), start, step)))
+        looked_up = lambda of: F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.get(of, x))
+        sums = {k: looked_up(_constant(v)) + F.coalesce(f"corrected.{k}", F.lit(0.0)) for k, v in once.items()}
+        of_raw = F.log(F.lit(float(raws)) - F.col("n") + raw_smooth * buckets)
+        plain = sums["plain"] / F.col("n") - F.log(F.lit(targets + smooth * buckets)) + of_raw
+        own = sums["own"] / F.col("n") - F.log(F.greatest(F.lit(float(targets)) - F.col("n"), F.lit(0.0)) + smooth * buckets) + of_raw
+        told = [F.when(F.col("n") > 0, x).otherwise(0.0).alias(k) for k, x in (("plain", plain), ("own", own))]
+        rows = rows.select(*_SIGNALS, "text_hash", *told)
     else:
-        rows = rows.select(*_SIGNALS, F.lit(0.0).alias("plain"), F.lit(0.0).alias("own"))
+        rows = rows.select(*_SIGNALS, "text_hash", F.lit(0.0).alias("plain"), F.lit(0.0).alias("own"))
     # the ids are written out, so that the join stands right on two shuffles and Spark can split a frequent doc_id; no texts go
     good = cut(_good_ids(labels).filter("good_id IS NOT NULL").distinct())
     rows = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
     trusted = F.col("good_id").isNotNull()
-    return rows.select(*_SIGNALS, trusted.alias("trusted"), F.when(trusted, F.col("own")).otherwise(F.col("plain")).alias("score"))
+    return rows.select(*_SIGNALS, "text_hash", trusted.alias("trusted"), F.when(trusted, F.col("own")).otherwise(F.col("plain")).alias("score"))
 
 
 def _lost_threshold(rows: DataFrame, lost_share: float) -> float | None:
@@ -205,16 +217,24 @@ def _lost_threshold(rows: DataFrame, lost_share: float) -> float | None:
     return None
 
 
-def judge_left_out(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, lost_share: float = 0.005) -> DataFrame:
-    """As ``judge``, each row scored against all others and the threshold taken from the trusted rows' scores."""
+def _judged_left_out(docs: DataFrame, labels: DataFrame, buckets: int, smooth: float, lost_share: float) -> DataFrame:
     if buckets & (buckets - 1):
         raise ValueError("buckets is a power of two")
     rows = cut(_left_out_scores(docs, labels, buckets, smooth))
     threshold = _lost_threshold(rows, lost_share)
     above = F.lit(True) if threshold is None else F.col("score") >= threshold
-    return rows.select(*_SIGNALS, "score", (~F.col("base_failed") & above).alias("kept"))
+    return rows.withColumn("kept", ~F.col("base_failed") & above)
+
+
+def judge_left_out(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, lost_share: float = 0.005) -> DataFrame:
+    """As ``judge``, each row scored against all others and the threshold taken from the trusted rows' scores."""
+    return _judged_left_out(docs, labels, buckets, smooth, lost_share).select(*_SIGNALS, "score", "kept")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = 8192, smooth: float = 1.0, threshold: float = -0.05) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns as they were."""
-    return _scored(docs, labels, buckets, smooth, threshold).filter("kept").select("row.*")
+def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int = 32_768, smooth: float = 1.0, lost_share: float = 0.005) -> DataFrame:
+    """The rows of ``docs`` that ``judge_left_out`` keeps, with all their columns as they were."""
+    kept = _judged_left_out(docs, labels, buckets, smooth, lost_share).filter("kept")
+    # by doc_id and text, from which the verdict follows; written out, so that the join stands right on two shuffles
+    kept = cut(kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct())
+    same = F.col("__kept_id").eqNullSafe(docs["doc_id"].cast("long")) & (F.col("__kept_hash") == F.xxhash64(docs["text"]))
+    return docs.join(kept.hint("merge"), same, "left_semi")
