@@ -159,10 +159,14 @@ def mean(col, in_scale: int = 0, out_scale: int = 4) -> Column:
     conversion to double at the end.
     """
     c = _c(col)
-    n = F.count(c)
-    units = (F.sum(c) * F.lit(10 ** in_scale)).cast("decimal(38,0)")
+    return mean_of(F.sum(c), F.count(c), in_scale, out_scale)
+
+
+def mean_of(total: Column, n: Column, in_scale: int = 0, out_scale: int = 4) -> Column:
+    """``mean`` from an exact sum and count; null for a count of 0."""
+    units = (total * F.lit(10 ** in_scale)).cast("decimal(38,0)")
     num = F.abs(units) * F.lit(2 * 10 ** (out_scale - in_scale)) + n
-    q = F.call_function("div", num, n * 2)
+    q = F.call_function("div", num, F.nullif(n * 2, F.lit(0)))
     signed = F.when(units < 0, -q).otherwise(q)
     return signed.cast("double") / F.lit(float(10 ** out_scale))
 

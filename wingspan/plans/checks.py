@@ -25,7 +25,8 @@ from wingspan.operators import windows as W
 from wingspan.plans import catalog as Q
 from wingspan.plans import pipelines as P
 from wingspan.plans import raw_fixture as R
-from wingspan.plans.fixture import fact_path, flights, flights_frame, table
+from wingspan.plans import rollups as U
+from wingspan.plans.fixture import fact_path, flights, flights_frame, rollup_path, table
 from wingspan.session import scratch_path
 from wingspan.sources import profile as A
 from wingspan.sources import raw as RAW
@@ -82,6 +83,17 @@ for _key in ["top_10_hubs", "regional_capacity", "underserved_routes", "capacity
     register(_key)(_catalog(_key))
 
 
+# Q1 and Q4 from monthly bitmaps
+@register("top_10_hubs_rollup")
+def _top_10_hubs_rollup(spark, sf_dir):
+    return plain(U.top_10_hubs(fact(spark, sf_dir), rollup_path(spark, sf_dir, "HUBS"), AS_OF))
+
+
+@register("capacity_trends_rollup")
+def _capacity_trends_rollup(spark, sf_dir):
+    return plain(U.capacity_trends(fact(spark, sf_dir), rollup_path(spark, sf_dir, "TRENDS"), AS_OF))
+
+
 @register("regional_flow_matrix")
 def _regional_flow_matrix(spark, sf_dir):
     # region names of the fixture: a dimension table (5 rows by definition)

@@ -35,6 +35,7 @@ from wingspan.functions import exprs as X
 from wingspan.session import shared_dir
 from wingspan.sources.sinks import current_version, publish_version, write_fact_parquet
 
+_ROLLUPS: set[str] = set()
 _MATERIALISED: dict[tuple[str, str], str] = {}
 _FRAMES: dict[tuple[str, str], DataFrame] = {}
 
@@ -184,3 +185,15 @@ def fact_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the materialised fact for ``sf_dir`` (built if needed)."""
     flights(spark, sf_dir)
     return _MATERIALISED[(spark.sparkContext.applicationId, sf_dir)]
+
+
+def rollup_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of the materialised rollup ``HUBS`` or ``TRENDS`` of the fact for ``sf_dir`` (built if needed)."""
+    from wingspan.plans import rollups
+
+    rollup = getattr(rollups, name)
+    base = f"{fact_path(spark, sf_dir)}-rollup-{name.lower()}"
+    if (base not in _ROLLUPS) and not rollups.exists(spark, base):
+        rollups.build(flights(spark, sf_dir), rollup, base)
+    _ROLLUPS.add(base)
+    return base

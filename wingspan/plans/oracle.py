@@ -634,3 +634,6 @@ SELECT CAST(flight_id AS BIGINT) AS flight_id, flight_number, CAST(seats AS BIGI
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY flight_id
         ORDER BY updated_at DESC, flight_number DESC, seats DESC, created_at DESC, codeshare DESC) AS rn FROM now) t
 WHERE rn = 1"""
+
+SQL["top_10_hubs_rollup"] = SQL["top_10_hubs"]
+SQL["capacity_trends_rollup"] = SQL["capacity_trends"]
