@@ -31,6 +31,8 @@ from wingspan.session import scratch_path
 from wingspan.sources import profile as A
 from wingspan.sources import raw as RAW
 from wingspan.sources import sinks as K
+from wingspan.sources.table_feed import table_changes
+from wingspan.streaming import merged as MERGED
 from wingspan.streaming import sync as I
 
 AS_OF = dt.date(2001, 8, 1)
@@ -227,6 +229,36 @@ def _fact_sync(spark, sf_dir):
                  .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
 
 
+# The table itself is read by its mark, before and after rows were updated in it
+@register("table_feed_sync")
+def _table_feed_sync(spark, sf_dir):
+    base = scratch_path(spark, "table-feed")
+    rows = fact_table(spark, sf_dir)
+    later = {"seats": F.col("seats") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")}
+    changed = B.changed_since(rows, "updated_at", FACT_MARK)
+    for version in (rows.exceptAll(changed), rows.exceptAll(changed).unionByName(changed.withColumns(later).select(*rows.columns))):
+        version.write.mode("overwrite").parquet(f"{base}/table")
+        I.sync_once(table_changes(spark, f"{base}/table", S.FACT_WITH_AUDIT, "updated_at", "flight_id"), f"{base}/target", f"{base}/checkpoint")
+    ties = ["flight_number", "seats", "created_at", "codeshare"]
+    return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties)
+                 .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
+
+
+# The copy is merged as it is written
+@register("fact_sync_merged")
+def _fact_sync_merged(spark, sf_dir):
+    base = scratch_path(spark, "fact-merged")
+    rows = fact_table(spark, sf_dir)
+    later = {"seats": F.col("seats") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")}
+    ties = ["flight_number", "seats", "created_at", "codeshare"]
+    for version in (rows, B.changed_since(rows, "updated_at", FACT_MARK).withColumns(later)):
+        version.write.mode("append").parquet(f"{base}/feed")
+        stream = I.change_stream(spark, f"{base}/feed", S.FACT_WITH_AUDIT)
+        MERGED.sync_merged(stream, f"{base}/copy", f"{base}/checkpoint", ["flight_id"], "updated_at", ties, buckets=16).awaitTermination()
+    return plain(MERGED.read_merged(spark, f"{base}/copy", S.FACT_WITH_AUDIT)
+                 .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
+
+
 # D1
 @register("agg_count")
 def _agg_count(spark, sf_dir):

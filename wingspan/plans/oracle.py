@@ -637,3 +637,5 @@ WHERE rn = 1"""
 
 SQL["top_10_hubs_rollup"] = SQL["top_10_hubs"]
 SQL["capacity_trends_rollup"] = SQL["capacity_trends"]
+SQL["table_feed_sync"] = SQL["fact_sync"]
+SQL["fact_sync_merged"] = SQL["fact_sync"]

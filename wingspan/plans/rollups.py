@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wingspan import schemas as S
 from wingspan.functions import exprs as X
@@ -86,11 +87,21 @@ def exists(spark: SparkSession, base: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+def read_months(fact: DataFrame, rollup: Rollup, base: str) -> DataFrame:
+    """The rollup's months, with their declared schema (no inference job)."""
+    km = T.DecimalType(fact.schema["distance_km"].dataType.precision + 10, fact.schema["distance_km"].dataType.scale)  # as Spark's sum
+    own = [T.StructField(k, fact.schema[k].dataType) for k in rollup.keys]
+    own += [T.StructField(D.BUCKET, T.LongType()), T.StructField(D.BITS, T.BinaryType())]
+    own += [T.StructField(n, km if n == "__km" else T.LongType()) for n in rollup.sums()]
+    parts = [T.StructField(c, T.IntegerType()) for c in S.FACT_PARTITION_COLUMNS]
+    return fact.sparkSession.read.schema(T.StructType(own + parts)).parquet(f"{base}/months")
+
+
 def window(fact: DataFrame, rollup: Rollup, base: str, as_of=None) -> DataFrame:
     """The rollup's keys over its trailing window: exact distinct values and sums."""
     spark = fact.sparkSession
     cutoff = B.trailing_cutoff(as_of, rollup.months)
-    parts = spark.read.parquet(f"{base}/months")
+    parts = read_months(fact, rollup, base)
     first = cutoff.year * 12 + cutoff.month - 1 + (cutoff.day > 1)
     whole = parts.filter(B.month_floor_predicate(cutoff) & (_month() >= first))
     if cutoff.day > 1:  # the month that the window cuts
