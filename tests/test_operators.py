@@ -65,6 +65,16 @@ def test_keep_first_and_latest(spark, rows):
         assert first[k] == (lo[0], lo[2]) and latest[k] == (hi[0], hi[2])
 
 
+def test_sample_n_does_not_depend_on_partitions(spark):
+    data = spark.range(5000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('v', id % 90) END AS v", "id % 3 AS `a.b`")
+    samples = [sorted(map(str, O.sample_n(data.repartition(k), 40, seed=5).collect())) for k in (2, 7)]
+    assert samples[0] == samples[1] and len(set(samples[0])) == 40
+    parts = [O.sample_n(data.filter(f"id % 2 = {k}"), 40, seed=5) for k in (0, 1)]
+    assert sorted(map(str, O.sample_n(parts[0].union(parts[1]), 40, seed=5).collect())) == samples[0]
+    assert sorted(map(str, O.sample_n(data, 40, seed=6).collect())) != samples[0]
+    assert O.sample_n(data.limit(0), 5).collect() == []
+
+
 def test_sample_n_exact_and_seeded(spark, rows):
     df = spark.createDataFrame(rows, "id int, k int, v int")
     a = [r["id"] for r in O.sample_n(df, 50, seed=3).collect()]

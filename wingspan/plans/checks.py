@@ -390,6 +390,13 @@ def _sample_n(spark, sf_dir):
     return plain(counts.agg(F.sum("s").alias("sample_rows"), F.sum("m").alias("not_in_fact")))
 
 
+# the very rows, which depend on the values and the seed alone
+@register("sample_n_rows")
+def _sample_n_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return plain(O.sample_n(rows, 100, seed=17))
+
+
 # F8
 @register("ordered_changes")
 def _ordered_changes(spark, sf_dir):

@@ -639,3 +639,7 @@ SQL["top_10_hubs_rollup"] = SQL["top_10_hubs"]
 SQL["capacity_trends_rollup"] = SQL["capacity_trends"]
 SQL["table_feed_sync"] = SQL["fact_sync"]
 SQL["fact_sync_merged"] = SQL["fact_sync"]
+SQL["sample_n_rows"] = """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_suppkey AS BIGINT) AS l_suppkey, l_returnflag FROM lineitem
+ORDER BY md5('17|' || coalesce(l_orderkey::VARCHAR, 'null') || '|' || coalesce(l_linenumber::VARCHAR, 'null') || '|' ||
+  coalesce(l_partkey::VARCHAR, 'null') || '|' || coalesce(l_suppkey::VARCHAR, 'null') || '|' || coalesce(l_returnflag, 'null')) LIMIT 100"""

@@ -1,8 +1,8 @@
 """Sinks: fact files (A4), full refresh (A6), append (A7, G1), insert-select.
 
 A full refresh never overwrites the folder readers use: it writes a new
-version folder and then points at it. The pointer is an empty file named after
-the version, made by one rename; readers take the newest pointer, so a failed
+version folder and then points at it. The pointer is a numbered file that holds
+the version's name and is created once; readers take the newest, so a failed
 write leaves the old version in place and there is no moment without one.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,19 +93,40 @@ def _pointers(spark: SparkSession, base: str) -> list[str]:
 
 
 def _point(spark: SparkSession, base: str, version: str) -> None:
-    """Publish ``version``: a file made aside, then renamed to its numbered name."""
-    held = _pointers(spark, base)
-    number = int(held[-1].split("=", 1)[0]) + 1 if held else 0
-    aside, fs = _fs(spark, f"{base}/.pointer-{uuid.uuid4().hex[:12]}")
+    """Publish ``version``: the next free number's file is created, never overwritten, and holds the version's name.
+
+    Of two publishers that want one number the second one's creation fails, and it takes the next."""
+    fs = _fs(spark, base)[1]
     fs.mkdirs(_fs(spark, f"{base}/{POINTER}")[0])
-    fs.create(aside).close()
-    if not fs.rename(aside, _fs(spark, f"{base}/{POINTER}/{number:012d}={version}")[0]):
-        raise RuntimeError(f"could not publish {version} below {base}")
+    number = 0
+    while True:
+        held = _pointers(spark, base)
+        number = max(number, int(held[-1].split("=")[0]) + 1 if held else 0)
+        path = _fs(spark, f"{base}/{POINTER}/{number:012d}")[0]
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError:
+            if not fs.exists(path):
+                raise
+            number += 1  # someone else's
+            continue
+        out.write(version.encode())
+        out.close()
+        return
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
-    held = _pointers(spark, base)
-    return held[-1].split("=", 1)[1] if held else None
+    """The version of the newest pointer that is written to its end."""
+    for name in reversed(_pointers(spark, base)):
+        if "=" in name:  # the form of earlier tables: an empty file named after the version
+            return name.split("=", 1)[1]
+        path, fs = _fs(spark, f"{base}/{POINTER}/{name}")
+        stream = fs.open(path)
+        version = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if version:
+            return version
+    return None
 
 
 def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame:
