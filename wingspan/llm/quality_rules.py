@@ -175,22 +175,25 @@ def _left_out_scores(docs: DataFrame, labels: DataFrame, buckets: int, smooth: f
         in_raw, in_target = _constant(raw), _constant(target)
 
         def ended(s: Column) -> tuple[Column, ...]:
-            """The corrections with the run of one cell that the state holds; the text has it ``again`` + 1 times."""
-            r, t, c = F.get(in_raw, s["cell"]), F.get(in_target, s["cell"]), s["again"] + 1
-            of_raw = F.log((F.greatest(r - 1, F.lit(0.0)) + raw_smooth) / (F.greatest(r - c, F.lit(0.0)) + raw_smooth))
-            of_target = F.log((F.greatest(t - c, F.lit(0.0)) + smooth) / (F.greatest(t - 1, F.lit(0.0)) + smooth))
-            return (s["plain"] + c * of_raw).alias("plain"), (s["own"] + c * (of_raw + of_target)).alias("own")
+            """The corrections with the run of one cell that the state holds; the text has it ``again`` + 1 times.
+
+            Each array stands here once: Spark writes a constant out wherever it stands in the plan."""
+            c = s["again"] + 1
+            of_raw = F.log1p(s["again"] / (F.get(in_raw, s["cell"]) - c + raw_smooth))
+            of_target = F.log1p(-s["again"] / (F.greatest(F.get(in_target, s["cell"]) - 1, s["again"]) + smooth))
+            return (s["plain"] + c * of_raw).alias("plain"), (s["extra"] + c * of_target).alias("extra")
 
         def step(s: Column, x: Column) -> Column:
-            more = F.struct(s["cell"].alias("cell"), (s["again"] + 1).alias("again"), s["plain"].alias("plain"), s["own"].alias("own"))
+            more = F.struct(s["cell"].alias("cell"), (s["again"] + 1).alias("again"), s["plain"].alias("plain"), s["extra"].alias("extra"))
             return F.when(x == s["cell"], more).otherwise(F.struct(x.alias("cell"), F.lit(1.0).alias("again"), *ended(s)))
 
         rows = rows.withColumn("more", F.filter("cells", lambda x, i: x == F.get("cells", i - 1)))
-        start = F.struct(F.get("more", F.lit(0)).alias("cell"), *(F.lit(0.0).alias(k) for k in ("again", "plain", "own")))
+        start = F.struct(F.get("more", F.lit(0)).alias("cell"), *(F.lit(0.0).alias(k) for k in ("again", "plain", "extra")))
         # runs of equal cells; the -1 ends the last one
         rows = rows.withColumn("corrected", F.when(F.size("more") > 0, F.aggregate(F.concat("more", F.array(F.lit(-1))), start, step)))
         looked_up = lambda of: F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.get(of, x))
-        sums = {k: looked_up(_constant(v)) + F.coalesce(f"corrected.{k}", F.lit(0.0)) for k, v in once.items()}
+        more = {k: F.coalesce(f"corrected.{k}", F.lit(0.0)) for k in ("plain", "extra")}
+        sums = {"plain": looked_up(_constant(once["plain"])) + more["plain"], "own": looked_up(_constant(once["own"])) + more["plain"] + more["extra"]}
         of_raw = F.log(F.lit(float(raws)) - F.col("n") + raw_smooth * buckets)
         plain = sums["plain"] / F.col("n") - F.log(F.lit(targets + smooth * buckets)) + of_raw
         own = sums["own"] / F.col("n") - F.log(F.greatest(F.lit(float(targets)) - F.col("n"), F.lit(0.0)) + smooth * buckets) + of_raw
