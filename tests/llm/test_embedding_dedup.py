@@ -86,3 +86,39 @@ def test_odd_rows(spark):
     vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links int, node string")
     assert rows_of(D.near_duplicates(vectors)) == brute(rows)
     assert D.near_duplicates(vectors.limit(0)).collect() == []
+
+
+def test_a_cut_label(spark):
+    """A label that is cut over two levels: bounded copies, small shards, recall in all and by vector."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 64))
+    x = np.vstack([x, x[:1500] + rng.normal(size=(1500, 64)) * 0.12])
+    rows = [(i, v, "a") for i, v in enumerate(x.tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(4)
+    members = D.cut(D.clusters(D.cut(D.classes_of(vectors)), 0.98, 100, 3, 0.1, 8, 512, 8))
+    copies = [r["count"] for r in members.groupBy("node").count().collect()]
+    assert len(copies) == 4000 and max(copies) <= 1 + 2 * 3 and sum(copies) <= 5 * 4000
+    assert members.filter("home").groupBy("node").count().filter("count <> 1").isEmpty()
+    assert max(r["count"] for r in members.groupBy("cluster").count().collect()) <= 200
+    got, want = rows_of(D.near_duplicates(vectors, shard_rows=100, branch=8)), brute(rows)
+    found = [g[1] / w[1] for g, w in zip(got, want, strict=True) if w[1]]
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert np.mean(found) >= 0.97 and sum(g[2] == w[2] for g, w in zip(got, want, strict=True)) >= 0.98 * len(want)
+
+
+def test_a_crowd_is_not_cut_by_centroids(spark):
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=32)
+    rows = [(i, (c + rng.normal(size=32) * 0.01).tolist(), "a") for i in range(700)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert D.clusters(D.cut(D.classes_of(vectors)), 0.98, 100, 3, 0.1, 8, 512, 8).select("cluster").distinct().count() == 1
+    assert rows_of(D.near_duplicates(vectors, shard_rows=100, chunk_rows=150)) == brute(rows)
+
+
+def test_labels_with_bars_and_slashes_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 8))
+    rows = [(k * 300 + i, v, label) for k, label in enumerate(["a", "0|8/a", "a/1", ""]) for i, v in enumerate(base.tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got, want = rows_of(D.near_duplicates(vectors, shard_rows=60)), brute(rows)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))

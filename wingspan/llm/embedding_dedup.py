@@ -3,10 +3,14 @@
 Vectors are compared only with those of the same label (not null) and length, by cosine in double precision. Equal
 vectors form one class, found by grouping, so a vector that a third of all rows hold is one node of the graph.
 
-Index. Labels with more than ``shard_rows`` classes are cut into clusters around centroids, fitted by k-means on at most
-about ``fit_rows`` rows in all and at most ``most_centroids`` centroids in all; every class is placed, in its
-nearest cluster and in those whose border with it is at most ``margin`` away. A cluster that is still over twice ``shard_rows`` (a crowd of near copies, say) is cut into
-chunks by hash, and every pair of chunks is a shard. In each shard, every node's nearest candidates are pruned robustly:
+Index. All classes of a label and length are one cluster at first. A cluster over twice ``shard_rows`` is cut around
+centroids, which a task fits by k-means on about ``fit_rows`` of its rows (at most ``branch`` centroids, so fits are
+bounded), and so on level by level until every cluster is small; centroids meet their rows by shuffle, never on the
+driver. A class goes to its nearest cluster (its home) and, from there, to at most ``overlap - 1`` others, the nearest
+borders first, if the border is at most ``margin`` away; a copy goes to its nearest cluster only. So a class stands in at
+most 1 + ``overlap - 1`` shards for each level. Centroids nearer to each other than a link reaches are made one: a crowd
+of near copies is not cut by them. What they can't cut (or ``most_levels`` could not) is cut into chunks of
+``chunk_rows`` by hash, and every pair of its chunks is a shard, as its classes may all be linked. In each shard, every node's nearest candidates are pruned robustly:
 the nearest stays, candidates nearer to it than to the node (by the factor ``alpha``) go, and so on up to ``degree``
 edges; a node that few edges lead to is added to the lists of its nearest neighbours, so that a walk can come to it. The
 lists of a class from all its shards are united: one flat graph.
@@ -17,7 +21,7 @@ are walked on from until none is new. Pairs found are verified at the threshold;
 is linked with, and forest edges go to the components. No pairs are returned, so a large group costs no rows.
 
 Audit. At most about ``audit_rows`` classes, chosen by hash, are held against all classes by brute force, in blocks; if
-fewer than ``least_recall`` of their links were found, the call fails.
+fewer than ``least_recall`` of their links were found, in all or in the mean of the classes, the call fails.
 
 Cases: a vector that is null, empty or zero, or holds null or non-finite components, and one with a null label, links
 with nothing: no links, its own component. A null vec_id is passed on and counts for a component's smallest id only if
@@ -37,7 +41,9 @@ from pyspark.sql import functions as F
 
 from wingspan.llm.common import components, cut, sorted_groups
 
-SHARD = ["space", "cluster", "i", "j"]
+SHARD = ["cluster", "i", "j"]
+#: Rows that are placed together, between centroids.
+SALT_ROWS = 8192
 
 
 def _unit(parts: list[bytes] | np.ndarray) -> np.ndarray:
@@ -71,67 +77,105 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit_centroids(classes: DataFrame, shard_rows: int, fit_rows: int, most_centroids: int) -> dict[str, np.ndarray]:
-    """Centroids of each space over ``shard_rows`` classes."""
-    large = classes.groupBy("space").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).orderBy(F.desc("n"), "space")
-    large = large.limit(most_centroids // 2).collect()
-    if not large:
-        return {}
-    total = sum(r.n for r in large)
-    want = {r.space: max(2, min(-(-r.n // shard_rows), most_centroids * r.n // total)) for r in large}
-    share = min(1.0, fit_rows / total)
-    some = classes.filter(F.col("space").isin([r.space for r in large])) if len(large) <= 200 else classes
-    some = some.filter(F.pmod(F.xxhash64("embedding"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample: dict[str, list] = {}
-    for r in some.select("space", "embedding").orderBy(F.xxhash64("embedding"), "space").limit(2 * fit_rows).collect():
-        if r.space in want:
-            sample.setdefault(r.space, []).append(np.array(r.embedding, "<f8").tobytes())
-    return {s: _centroids(_unit(rows), min(want[s], len(rows))) for s, rows in sample.items()}
-
-
-def clusters_of(x: np.ndarray, c: np.ndarray, apart: np.ndarray, margin: float) -> list[int]:
-    """The nearest cluster of x, then those whose border with it is at most ``margin`` away.
-
-    A linked vector lies sqrt(2 - 2 * threshold) away at most, so with a margin of as much no linked pair is parted.
-    """
-    sim = c @ x
-    home = int(np.argmax(sim))
-    border = (sim[home] - sim) / np.maximum(apart[home], 1e-9)
-    return [home, *(k for k in np.flatnonzero(border <= margin).tolist() if k != home)]
+def thinned(c: np.ndarray, threshold: float) -> np.ndarray:
+    """The centroids, less those that are as near as a link to one before them."""
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < threshold:
+            kept.append(i)
+    return c[kept]
 
 
-def _placed(batches: Iterator[pa.RecordBatch], centroids: dict[str, np.ndarray], margin: float) -> Iterator[pa.RecordBatch]:
-    names = ["space", "cluster", "home", "node", "n", "vec"]
-    apart = {s: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for s, c in centroids.items()}
-    for batch in batches:
-        space, nodes, n, vec = (batch.column(i).to_pylist() for i in range(4))
-        raw = [np.array(v, "<f8").tobytes() for v in vec]
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        for i, s in enumerate(space):
-            near = [0]
-            if (c := centroids.get(s)) is not None:
-                near = clusters_of(_unit([raw[i]])[0], c, apart[s], margin)
-            for rank, cluster in enumerate(near):
-                for column, value in zip(out, (s, cluster, rank == 0, nodes[i], n[i], raw[i]), strict=True):
-                    column.append(value)
+def _fitted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for g in sorted_groups(batches, ["cluster"]):
+        x = _unit(g["vec"])
+        c = _centroids(x, min(int(g["want"][0]), len(x)))
+        c = thinned(c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None], threshold)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()),
-             pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary())], names,
+            [pa.array(g["cluster"][:1], pa.string()), pa.array([len(c)], pa.int64()), pa.array([c.astype("<f8").tobytes()], pa.binary())],
+            ["cluster", "k", "centres"],
         )
 
 
-def shards(classes: DataFrame, centroids: dict[str, np.ndarray], shard_rows: int, margin: float) -> DataFrame:
-    """(space, cluster, i, j, chunk, home, node, n, vec): the members of every shard."""
-    placed = classes.select("space", "node", "n", "embedding").mapInArrow(
-        partial(_placed, centroids=centroids, margin=margin), "space string, cluster int, home boolean, node long, n long, vec binary"
-    )
-    placed = cut(placed)
-    large = placed.groupBy("space", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * shard_rows)
-    large = large.select("space", "cluster", F.ceil(F.col("size") / shard_rows).cast("int").alias("chunks"))
-    placed = placed.join(large, ["space", "cluster"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+def clusters_of(x: np.ndarray, c: np.ndarray, margin: float, overlap: int) -> np.ndarray:
+    """For each row of x (unit vectors) its nearest cluster, then others by their border's distance; -1 beyond ``margin``."""
+    apart = np.sqrt(np.maximum(1e-18, 2 - 2 * c @ c.T))
+    sim = x @ c.T
+    home = np.argmax(sim, axis=1)
+    border = (sim[np.arange(len(x)), home][:, None] - sim) / apart[home]
+    border[np.arange(len(x)), home] = -np.inf
+    near = np.argsort(border, axis=1, kind="stable")[:, :overlap]
+    return np.where(np.take_along_axis(border, near, 1) <= margin, near, -1)
+
+
+def _placed(batches: Iterator[pa.RecordBatch], margin: float, overlap: int) -> Iterator[pa.RecordBatch]:
+    names = ["cluster", "home", "node", "n", "vec"]
+    for g in sorted_groups(batches, ["cluster", "salt"], least=2):
+        # the first row holds the centroids, their number as its n
+        c, x = np.frombuffer(g["vec"][0], "<f8").reshape(int(g["n"][0]), -1), _unit(g["vec"][1:])
+        near = clusters_of(x, c, margin, overlap)
+        was_home = g["home"][1:].astype(bool)
+        near[~was_home, 1:] = -1
+        who, rank = np.nonzero(near >= 0)
+        old = g["cluster"][0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f"{k}|{old}" for k in near[who, rank].tolist()], pa.string()), pa.array(was_home[who] & (rank == 0)),
+             pa.array(g["node"][1:][who], pa.int64()), pa.array(g["n"][1:][who], pa.int64()), pa.array(g["vec"][1:][who], pa.binary())], names,
+        )
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vec = pa.array([np.array(v, "<f8").tobytes() for v in batch.column(3).to_pylist()], pa.binary())
+        home = pa.array(np.ones(batch.num_rows, bool))
+        yield pa.RecordBatch.from_arrays([batch.column(0), home, batch.column(1), batch.column(2), vec], ["cluster", "home", "node", "n", "vec"])
+
+
+MEMBER = "cluster string, home boolean, node long, n long, vec binary"
+
+
+def clusters(
+    classes: DataFrame, threshold: float, shard_rows: int, overlap: int, margin: float, branch: int, fit_rows: int, most_levels: int
+) -> DataFrame:
+    """(cluster, home, node, n, vec): every class in its clusters; those over twice ``shard_rows`` can't be cut."""
+    members = cut(classes.select("space", "node", "n", "embedding").mapInArrow(_raw, MEMBER))
+    whole: list[DataFrame] = []
+    for _ in range(most_levels):
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+        large = cut(sizes.filter(F.col("size") > 2 * shard_rows).withColumnRenamed("cluster", "of"))
+        if large.isEmpty():
+            break
+        known = members.join(large, F.col("cluster") == F.col("of"), "left")
+        some = known.filter(F.pmod(F.xxhash64("vec"), F.col("size")) < fit_rows)
+        want = F.least(F.lit(branch), F.ceil(overlap * F.col("size") / shard_rows)).cast("long")
+        fits = some.select("cluster", want.alias("want"), "vec").repartition("cluster").sortWithinPartitions("cluster", "vec")
+        fits = cut(fits.mapInArrow(partial(_fitted, threshold=threshold), "cluster string, k long, centres binary").filter("k > 1"))
+        fits = fits.withColumnRenamed("cluster", "of").join(large, "of")
+        split = known.drop("of").join(fits.select("of", "k"), F.col("cluster") == F.col("of"), "left")
+        whole.append(cut(split.filter(F.col("k").isNull()).select("cluster", "home", "node", "n", "vec")))
+        salts = F.ceil(F.col("size") / SALT_ROWS).cast("long")
+        rows = split.filter(F.col("k").isNotNull()).select(
+            "cluster", F.pmod(F.xxhash64("vec"), salts).alias("salt"), F.lit(1).alias("kind"), "home", "node", "n", "vec"
+        )
+        heads = fits.select(
+            F.col("of").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("kind"),
+            F.lit(False).alias("home"), F.lit(-1).cast("long").alias("node"), F.col("k").alias("n"), F.col("centres").alias("vec"),
+        )
+        both = rows.unionByName(heads).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt", "kind", "node")
+        members = cut(both.drop("kind").mapInArrow(partial(_placed, margin=margin, overlap=overlap), MEMBER))
+    for done in whole:
+        members = members.unionByName(done)
+    return members
+
+
+def shards(members: DataFrame, shard_rows: int, chunk_rows: int) -> DataFrame:
+    """(cluster, i, j, chunk, home, node, n, vec): the members of every shard."""
+    large = members.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") > max(2 * shard_rows, 2 * chunk_rows))
+    large = large.select("cluster", F.ceil(F.col("size") / chunk_rows).cast("int").alias("chunks"))
+    placed = members.join(large, "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    return placed.select("space", "cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "node", "n", "vec")
+    return placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "node", "n", "vec")
 
 
 def robust_prune(x: np.ndarray, degree: int, candidates: int, alpha: float) -> list[np.ndarray]:
@@ -299,7 +343,10 @@ def _audited(batches: Iterator[pa.RecordBatch], queries: dict[str, tuple[np.ndar
 
 
 def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, audit_rows: int) -> float:
-    """The share of the links of some classes, chosen by hash, that the search found; brute force is the measure."""
+    """The share of the links of some classes, chosen by hash, that the search found; brute force is the measure.
+
+    Taken over all their links and as the mean over classes with a link; the lesser counts.
+    """
     total = classes.count()
     share = min(1.0, audit_rows / max(total, 1))
     chosen = classes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -314,27 +361,33 @@ def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, audit_r
     truth = truth.groupBy("node").agg(F.sum("links").alias("links"))
     got = {r.node: r.links for r in found.filter(F.col("node").isin(ids)).select("node", "links").collect()}
     want = {r.node: r.links for r in truth.collect()}
-    return sum(min(got.get(i, 0), n) for i, n in want.items()) / max(1, sum(want.values())) if sum(want.values()) else 1.0
+    shares = [(min(got.get(i, 0), n), n) for i, n in want.items() if n]
+    if not shares:
+        return 1.0
+    return min(sum(g for g, _ in shares) / sum(n for _, n in shares), sum(g / n for g, n in shares) / len(shares))
 
 
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
-    shard_rows: int = 1000,
+    shard_rows: int = 400,
+    overlap: int = 3,
     margin: float = 0.1,
     degree: int = 16,
     candidates: int = 48,
     alpha: float = 1.2,
     beam: int = 8,
     slack: float = 0.04,
-    fit_rows: int = 20_000,
-    most_centroids: int = 2048,
+    branch: int = 64,
+    fit_rows: int = 2048,
+    most_levels: int = 8,
+    chunk_rows: int = 1000,
     audit_rows: int = 400,
     least_recall: float = 0.9,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (columns vec_id, embedding, label)."""
     classes = cut(classes_of(vectors))
-    members = cut(shards(classes, fit_centroids(classes, shard_rows, fit_rows, most_centroids), shard_rows, margin))
+    members = cut(shards(clusters(classes, threshold, shard_rows, overlap, margin, branch, fit_rows, most_levels), shard_rows, chunk_rows))
     spread = members.repartition(*SHARD).sortWithinPartitions(*SHARD, "node")
     graph = spread.select(*SHARD, "node", "vec").mapInArrow(
         partial(_edges, degree=degree, candidates=candidates, alpha=alpha), "node long, edges array<long>"
@@ -348,7 +401,7 @@ def near_duplicates(
     walked = cut(walked)
     links = cut(walked.groupBy("node").agg(F.sum("links").alias("links")))
     if (recall := audit_recall(classes, links, threshold, audit_rows)) < least_recall:
-        raise RuntimeError(f"the graph found {recall:.3f} of the audited links; raise margin, degree or beam")
+        raise RuntimeError(f"the graph found {recall:.3f} of the audited links; raise overlap, margin, degree or beam")
     tied = components(walked.select(F.col("node").alias("a"), F.col("tied").alias("b")))
     rooted = classes.join(tied, "node").select("node", "low", "root")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
