@@ -92,8 +92,9 @@ def _fitted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         c = _centroids(x, min(int(g["want"][0]), len(x)))
         c = thinned(c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None], threshold)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(g["cluster"][:1], pa.string()), pa.array([len(c)], pa.int64()), pa.array([c.astype("<f8").tobytes()], pa.binary())],
-            ["cluster", "k", "centres"],
+            [pa.array(g["cluster"][:1], pa.string()), pa.array(g["size"][:1], pa.int64()), pa.array([len(c)], pa.int64()),
+             pa.array([c.astype("<f8").tobytes()], pa.binary())],
+            ["of", "size", "k", "centres"],
         )
 
 
@@ -145,14 +146,14 @@ def clusters(
         large = cut(sizes.filter(F.col("size") > 2 * shard_rows).withColumnRenamed("cluster", "of"))
         if large.isEmpty():
             break
-        known = members.join(large, F.col("cluster") == F.col("of"), "left")
+        # written out before they part: the rows that stay, those that are placed anew and the fits are each read from it
+        known = cut(members.join(large, F.col("cluster") == F.col("of"), "left").drop("of"))
         some = known.filter(F.pmod(F.xxhash64("vec"), F.col("size")) < fit_rows)
         want = F.least(F.lit(branch), F.ceil(overlap * F.col("size") / shard_rows)).cast("long")
-        fits = some.select("cluster", want.alias("want"), "vec").repartition("cluster").sortWithinPartitions("cluster", "vec")
-        fits = cut(fits.mapInArrow(partial(_fitted, threshold=threshold), "cluster string, k long, centres binary").filter("k > 1"))
-        fits = fits.withColumnRenamed("cluster", "of").join(large, "of")
-        split = known.drop("of").join(fits.select("of", "k"), F.col("cluster") == F.col("of"), "left")
-        whole.append(cut(split.filter(F.col("k").isNull()).select("cluster", "home", "node", "n", "vec")))
+        some = some.select("cluster", "size", want.alias("want"), "vec").repartition("cluster").sortWithinPartitions("cluster", "vec")
+        fits = cut(some.mapInArrow(partial(_fitted, threshold=threshold), "of string, size long, k long, centres binary").filter("k > 1"))
+        split = cut(known.join(fits.select("of", "k"), F.col("cluster") == F.col("of"), "left").drop("of"))
+        whole.append(split.filter(F.col("k").isNull()).select("cluster", "home", "node", "n", "vec"))
         salts = F.ceil(F.col("size") / SALT_ROWS).cast("long")
         rows = split.filter(F.col("k").isNotNull()).select(
             "cluster", F.pmod(F.xxhash64("vec"), salts).alias("salt"), F.lit(1).alias("kind"), "home", "node", "n", "vec"
