@@ -20,6 +20,7 @@ from wingspan.functions import exprs as X
 from wingspan.operators import enrich as C
 from wingspan.operators import filters as B
 from wingspan.operators import ordering as O
+from wingspan.operators import checksum as CS
 from wingspan.operators import reconcile as G
 from wingspan.operators import windows as W
 from wingspan.plans import catalog as Q
@@ -462,6 +463,15 @@ def _reconcile_diff(spark, sf_dir):
     return plain(G.compare(left, right, tolerance=0.001))
 
 
+# G2 on the fact's table form by a checksum tree: a copy that lost and edited some rows
+@register("reconcile_tree")
+def _reconcile_tree(spark, sf_dir):
+    left = fact_table(spark, sf_dir)
+    right = left.filter(F.coalesce(F.col("flight_id") % 1000 != 8, F.lit(True))).withColumn(
+        "seats", F.when(F.col("flight_id") % 1000 == 7, F.col("seats") + 1).otherwise(F.col("seats")).cast(left.schema["seats"].dataType))
+    return plain(CS.compare_by_tree(left, right, ["flight_id"]))
+
+
 # G2 as the reference uses it: every core query on two copies of the fact
 @register("layouts_agree")
 def _layouts_agree(spark, sf_dir):

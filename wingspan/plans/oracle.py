@@ -622,6 +622,14 @@ _TABLE_SELECT = f"CAST(flight_id AS BIGINT) AS flight_id, {FACT_SELECT}, {ts('cr
 SQL["fact_table_projection"] = f"{_TABLE_FORM}\nSELECT {_TABLE_SELECT} FROM flights"
 SQL["fact_incremental"] = f"{_TABLE_FORM}\nSELECT {_TABLE_SELECT} FROM flights WHERE updated_at > {_FACT_MARK}"
 SQL["fact_csv_append"] = SQL["fact_incremental"]
+SQL["reconcile_tree"] = f"""{_TABLE_FORM},
+a AS (SELECT {_TABLE_SELECT} FROM flights),
+b AS (SELECT * REPLACE (CASE WHEN flight_id % 1000 = 7 THEN seats + 1 ELSE seats END AS seats) FROM a
+      WHERE coalesce(flight_id % 1000 <> 8, TRUE)),
+n AS (SELECT (SELECT COUNT(*) FROM a) AS l, (SELECT COUNT(*) FROM b) AS r,
+             (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x) AS lo,
+             (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) y) AS ro)
+SELECT l AS rows_left, r AS rows_right, lo AS only_left, ro AS only_right, l - lo AS matched, lo = 0 AND ro = 0 AS equal FROM n"""
 SQL["fact_sync"] = f"""{_TABLE_FORM},
 now AS (
   SELECT flight_id, flight_number, codeshare, created_at,
