@@ -605,6 +605,7 @@ SQL["compare_storage"] = """SELECT CAST(COUNT(*) AS BIGINT) AS row_row_count, CA
        TRUE AS columnar_smaller FROM lineitem"""
 
 SQL["change_window_files"] = SQL["change_window_stream"]
+SQL["change_window_partials"] = SQL["change_window_stream"]
 SQL["sync_continuous"] = SQL["latest_per_key"]
 SQL["sync_empty_batch"] = """SELECT CAST(0 AS BIGINT) AS batches, CAST(0 AS BIGINT) AS rows_synced,
        CAST(0 AS BIGINT) AS state_rows, CAST(COUNT(*) AS BIGINT) AS feed_rows_in_table
