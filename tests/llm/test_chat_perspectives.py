@@ -12,9 +12,10 @@ from wingspan.llm.queries import REGISTRY, SQL
 def brute(rows, block_turns):
     talks = defaultdict(list)
     for conv, turn, role, text in rows:
-        talks[conv].append((turn is not None, turn or 0, role or "unknown", text or "", None if turn is None else turn // block_turns))
+        talks[conv].append((turn is not None, turn or 0, role or "unknown", text or ""))
     out = []
     for conv, turns in talks.items():
+        turns = [(*t, i // block_turns) for i, t in enumerate(sorted(turns))]
         for p in {t[2] for t in turns} - {"system"}:
             for block in {t[4] for t in turns}:
                 text, mask, n = "", [], 0

@@ -5,10 +5,10 @@ named users; the mask holds the spans of the assistant's turns, end mark include
 turns are rendered as such in every view and give no view of their own.
 
 Turns stand in the order of their number (null first), then speaker, then text. A conversation is rendered in blocks of
-``block_turns`` numbers, a row for each view and block, so that one conversation of very many turns is not gathered in one
-place; short conversations have one block. Turns of one conversation that repeat a number, or have none, share a block
-however many they are: such a row grows with them, in time that grows as they do. A view is its blocks' texts one after the other; spans count characters of
-their own block.
+``block_turns`` turns in that order, a row for each view and block, so that one conversation of very many turns is not
+gathered in one place; short conversations have one block. Turns are numbered by running counts over blocks of the whole
+table's order, so turns that repeat a number, or have none, fill blocks like any others. A view is its blocks' texts one
+after the other; spans count characters of their own block.
 
 Cases: a null role is the speaker ``unknown``; a null text is empty. Rows with null conv_id are one conversation. Repeated
 rows are repeated turns. A conversation with system turns only has no participant and gives no row. Other columns are not
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wingspan.operators.windows import running_sums
+
 END = "<|end|>\n"
 ASSISTANT = "<|assistant|>\n"
 SYSTEM = "<|system|>\n"
@@ -28,12 +30,15 @@ SYSTEM = "<|system|>\n"
 def views(turns: DataFrame, block_turns: int = 512, system_role: str = "system") -> DataFrame:
     """(conv_id, perspective, block, n_turns, text, mask) from rows (conv_id, turn, role, text).
 
-    block is the whole part of turn / ``block_turns``, null for turns without a number. mask: array of (start, end).
+    block counts from 0 in each conversation. mask: array of (start, end).
     """
     rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.floor(F.col("turn") / block_turns).cast("long").alias("block"),
-    )
+        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    rows = running_sums(rows, ["conv_id", "turn", "role", "text"], {"place": F.lit(1).cast("long")})
+    first = rows.groupBy(F.col("conv_id").alias("of_conv")).agg(F.min("place").alias("first"))
+    rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("of_conv")))
+    rows = rows.withColumn("block", F.floor((F.col("place") - F.col("first")) / block_turns).cast("long")).drop("of_conv", "place", "first")
     user = lambda role: F.concat(F.lit("<|user name="), role, F.lit("|>\n"))
     others = F.when(F.col("role") == system_role, F.lit(SYSTEM)).otherwise(user(F.col("role")))
     size = (F.length(others) + F.length("text") + len(END)).cast("long")
@@ -68,7 +73,7 @@ def spans_as_text(column: str) -> Column:
 SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-    CAST(floor(turn / 512) AS BIGINT) AS block
+    CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // 512 AS BIGINT) AS block
   FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
