@@ -14,7 +14,9 @@ At scale ``lineitem`` is the only large input. The plan joins ``orders`` to
 then to ``supplier`` and ``part``. These joins carry no hint: Spark broadcasts a
 side only when its real size is under ``spark.sql.autoBroadcastJoinThreshold``
 (AQE re-plans from shuffle sizes) and splits skewed partitions otherwise. Only
-the geography (nation x region, 25 rows by definition) is hinted.
+the geography (nation x region, 25 rows by definition) is hinted. What follows
+from a line's keys (codes, cities, coordinates, distance) is added after the last
+shuffle, so shuffles and sorts move narrow rows.
 
 The fact is materialised once per input set as Parquet partitioned by
 the year and month of its date below the shared folder; named queries read it
@@ -64,23 +66,18 @@ def airport_code(kind: str, key) -> "F.Column":
     return F.concat(F.lit(kind), F.lpad(key.cast("string"), 6, "0"))
 
 
-def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) -> DataFrame:
-    """Lazy plan of the fact over the raw tables (FACT column order).
-
-    ``table_form`` gives the analytical table's 27 columns instead: the key
-    ``flight_id`` (order key and line number), the fact, and the audit times
-    ``created_at`` / ``updated_at``."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One narrow row per line item: keys, names and measures, without what follows from them. Large shuffles move these."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        (F.col("l_quantity") * 10).cast("int").alias("seats"),
+        (F.col("l_returnflag") == F.lit("R")).alias("codeshare"),
+        F.col("l_shipdate").cast("date").alias("flight_date"),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    geo = F.broadcast(geography(spark, sf_dir))
-    og = geo.select([F.col(c).alias(f"o_{c}") for c in geo.columns])
-    dg = geo.select([F.col(c).alias(f"d_{c}") for c in geo.columns])
-
     dest = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_custkey", "c_nationkey"
     )
@@ -88,10 +85,17 @@ def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) ->
         li.join(dest, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(og, F.col("s_nationkey") == F.col("o_nk"))
-        .join(dg, F.col("c_nationkey") == F.col("d_nk"))
     )
-    flight_date = F.col("l_shipdate").cast("date")
+    return j.drop("o_orderkey", "s_suppkey", "p_partkey")
+
+
+def _widened(lines: DataFrame, sf_dir: str, table_form: bool = False) -> DataFrame:
+    """Narrow lines with all columns of the fact, or of its table form. No shuffle: rows stay where and in what order they are."""
+    geo = F.broadcast(geography(lines.sparkSession, sf_dir))
+    og = geo.select([F.col(c).alias(f"o_{c}") for c in geo.columns])
+    dg = geo.select([F.col(c).alias(f"d_{c}") for c in geo.columns])
+    j = lines.join(og, F.col("s_nationkey") == F.col("o_nk")).join(dg, F.col("c_nationkey") == F.col("d_nk"))
+    flight_date = F.col("flight_date")
     cols = {
         "airline_code": F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")),
         "airline_name": F.col("s_name"),
@@ -111,9 +115,9 @@ def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) ->
         "destination_latitude": F.col("d_lat"),
         "destination_longitude": F.col("d_lon"),
         "distance_km": X.haversine_km("o_lat", "o_lon", "d_lat", "d_lon").cast("decimal(10,2)"),
-        "seats": (F.col("l_quantity") * 10).cast("int"),
+        "seats": F.col("seats"),
         "aircraft_type": F.col("p_type"),
-        "codeshare": F.col("l_returnflag") == F.lit("R"),
+        "codeshare": F.col("codeshare"),
         "stops": F.col("l_linenumber") - 1,
         "flight_date": flight_date,
         "flight_year": F.year(flight_date),
@@ -129,14 +133,33 @@ def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) ->
             "updated_at": F.timestamp_seconds(F.unix_timestamp(created) + seconds),
         }
         return j.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in S.FACT_WITH_AUDIT.fields])
-    return j.select(*[cols[name].alias(name) for name in S.FACT_COLUMNS])
+    kept = [c for c in S.FACT_PARTITION_COLUMNS if c in lines.columns]
+    return j.select(*[cols[name].alias(name) for name in S.FACT_COLUMNS], *kept)
+
+
+def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) -> DataFrame:
+    """Lazy plan of the fact over the raw tables (FACT column order).
+
+    ``table_form`` gives the analytical table's 27 columns instead: the key
+    ``flight_id`` (order key and line number), the fact, and the audit times
+    ``created_at`` / ``updated_at``."""
+    return _widened(_lines(spark, sf_dir), sf_dir, table_form)
+
+
+def _write_lines(sf_dir: str):
+    """Writer of the fact from narrow lines: these are shuffled and sorted, the other columns follow as files are written."""
+
+    def write(lines: DataFrame, path: str) -> str:
+        return write_fact_parquet(lines, path, widen=lambda rows: _widened(rows, sf_dir))
+
+    return write
 
 
 def _inputs_key(spark: SparkSession, sf_dir: str) -> str:
     """Inputs (path, size, mtime) plus the derivation's own source text, so a
     changed derivation never reuses an old table."""
     h = hashlib.sha1(f"{sf_dir.rstrip('/')} {S.FACT_PARTITION_COLUMNS}".encode())
-    h.update(inspect.getsource(flights_frame).encode())
+    h.update(inspect.getsource(_lines).encode() + inspect.getsource(_widened).encode())
     h.update(inspect.getsource(geography).encode() + inspect.getsource(airport_code).encode())
     for name in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
         h.update(f"{name}:{_stat(spark, f'{sf_dir.rstrip(chr(47))}/{name}.parquet')}".encode())
@@ -174,7 +197,7 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = f"{shared_dir(spark)}/wingspan-tables/flights-{_inputs_key(spark, sf_dir)}"
         version = current_version(spark, base)
         if version is None:
-            version = publish_version(flights_frame(spark, sf_dir), base, write=write_fact_parquet)
+            version = publish_version(_lines(spark, sf_dir), base, write=_write_lines(sf_dir))
         path = f"{base}/{version}"
         _MATERIALISED[key] = path
         frame = _FRAMES[key] = read_fact(spark, path)

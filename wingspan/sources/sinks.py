@@ -9,19 +9,21 @@ write leaves the old version in place and there is no moment without one.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wingspan import schemas as S
+from wingspan.session import settings
 
 POINTER = "_current"
 
 
 # A4 (Parquet) ---------------------------------------------------------------------
-def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None,
-                       mode: str = "errorifexists") -> str:
+def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists",
+                       clustered: bool = False, widen: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """Partitioned by the year and month of flight_date, date-sorted within files.
 
     ``REBALANCE`` on the partition columns hashes rows by month and lets AQE
@@ -29,32 +31,58 @@ def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None,
     a hot month is split over several tasks (no single writer gets a third
     of the data), and no separate sampling pass over the input is needed.
     ``partitions`` is accepted for callers that fix the shuffle width.
+
+    ``widen`` adds columns to the rows after they were shuffled and sorted; it
+    must keep the partition columns and move no row. ``clustered`` is for frames
+    read from month folders (or of one date per task): their rows already stand
+    together, so nothing is shuffled; scans are cut so small that a task sorts
+    in memory. Rows in another order would only give more files.
     """
     year, month = S.FACT_PARTITION_COLUMNS
     df = df.withColumns({year: F.year("flight_date"), month: F.month("flight_date")})
-    out = df.hint("rebalance", *S.FACT_PARTITION_COLUMNS) if partitions is None else df.repartition(
-        partitions, *S.FACT_PARTITION_COLUMNS, F.pmod(F.xxhash64("flight_number"), F.lit(max(1, partitions // 12)))
-    )
-    (
-        out.sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, "flight_date")
-        .write.mode(mode)
-        .option("maxRecordsPerFile", 5_000_000)
-        .partitionBy(*S.FACT_PARTITION_COLUMNS)
-        .parquet(path)
-    )
+    if clustered:
+        out = df
+    else:
+        out = df.hint("rebalance", *S.FACT_PARTITION_COLUMNS) if partitions is None else df.repartition(
+            partitions, *S.FACT_PARTITION_COLUMNS, F.pmod(F.xxhash64("flight_number"), F.lit(max(1, partitions // 12)))
+        )
+    out = out.sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, "flight_date")
+    with settings(df.sparkSession, {"spark.sql.files.maxPartitionBytes": SCAN_BYTES} if clustered else {}):
+        _write_months(widen(out) if widen else out, path, mode)
+    return path
+
+
+#: Bytes of Parquet that a task reads where it sorts what it read: some 300 MB as rows of a fact.
+SCAN_BYTES = "16m"
+
+
+def _write_months(df: DataFrame, path: str, mode: str) -> None:
+    writer = df.write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(*S.FACT_PARTITION_COLUMNS)
+    writer.parquet(path)
+
+
+def write_fact_by_date(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """``write_fact_parquet`` for a frame whose tasks hold one date each: neither shuffled nor sorted."""
+    year, month = S.FACT_PARTITION_COLUMNS
+    with settings(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "32", "spark.sql.files.maxPartitionBytes": SCAN_BYTES}):
+        _write_months(df.withColumns({year: F.year("flight_date"), month: F.month("flight_date")}), path, mode)
     return path
 
 
 # A4 (CSV, the reference's exchange format) ---------------------------------------------
-def write_fact_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """CSV with header, FACT column order, flag as 0/1."""
+def write_fact_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> str:
+    """CSV with header, FACT column order, flag as 0/1.
+
+    A quoted line break may stand in a record, so readers give a file to one task: the rows of a file are bounded.
+    ``compression`` (``gzip``) makes files a tenth as large; Spark's reader takes them by their suffix."""
     out = df.select(
         *[
             F.col(c).cast("int").alias(c) if c == "codeshare" else F.col(c)
             for c in S.FACT_COLUMNS
         ]
     )
-    out.write.mode(mode).options(**S.CSV_KEEP_BLANKS).option("header", True).option("escape", '"').csv(path)
+    writer = out.write.mode(mode).options(**S.CSV_KEEP_BLANKS).option("header", True).option("escape", '"')
+    writer.option("maxRecordsPerFile", S.CHUNK_ROWS * 100).csv(path, compression=compression)
     return path
 
 
