@@ -864,9 +864,9 @@ def _table_profile(spark, sf_dir):
 def _compare_storage(spark, sf_dir):
     path = scratch_path(spark, "storage")
     f = fact(spark, sf_dir)
-    f.write.json(f"{path}/row")
-    K.write_fact_parquet(f, f"{path}/col")
-    row = A.table_profile(spark, f"{path}/row", "json", layout="row", schema=S.FACT)
+    K.write_fact_csv(f, f"{path}/row")
+    K.write_fact_parquet(f, f"{path}/col", clustered=True)
+    row = A.table_profile(spark, f"{path}/row", "csv", layout="row", schema=S.FACT_CSV, options=RAW.FACT_CSV_OPTIONS)
     col = A.table_profile(spark, f"{path}/col", "parquet", layout="columnar", schema=S.FACT)
     both = A.compare_storage(row, col)
     return plain(both.select("row_row_count", "col_row_count", (F.col("compression_ratio") > 1).alias("columnar_smaller")))

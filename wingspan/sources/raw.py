@@ -93,16 +93,13 @@ def read_routes(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A5 -------------------------------------------------------------------------------
+FACT_CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true"}
+
+
 def read_fact_csv(spark: SparkSession, path: str) -> DataFrame:
     """Enriched fact CSV with header. The schema is listed in file order; the
     flag is read as 0/1 and cast (``boolean`` would turn 0/1 into null)."""
-    df = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .schema(S.FACT_CSV)
-        .csv(path)
-    )
+    df = spark.read.options(**FACT_CSV_OPTIONS).schema(S.FACT_CSV).csv(path)
     return df.withColumn("codeshare", F.col("codeshare").cast("boolean"))
 
 
