@@ -202,6 +202,13 @@ def add_months(day: dt.date, months: int) -> dt.date:
     return dt.date(year, month, min(day.day, calendar.monthrange(year, month)[1]))
 
 
+def month_starts(end: dt.date, months: int) -> list[dt.date]:
+    """``month_start_series`` from ``months`` before ``end``: that day, then each following 1st up to ``end``."""
+    start = add_months(end, -months)
+    firsts = [add_months(start.replace(day=1), k) for k in range(1, months + 2)]
+    return [start, *(d for d in firsts if d <= end)]
+
+
 def as_date(value) -> dt.date:
     if value is None:
         return dt.date.today()
