@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+from functools import partial
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -716,8 +717,9 @@ def _fact_roundtrip_parquet(spark, sf_dir):
 def _load_overwrite(spark, sf_dir):
     base = scratch_path(spark, "overwrite")
     f = fact(spark, sf_dir)
-    K.publish_version(B.trailing_months(f, 3, AS_OF), base, write=K.write_fact_parquet)
-    K.publish_version(f, base, write=K.write_fact_parquet)  # full refresh replaces the first load
+    write = partial(K.write_fact_parquet, clustered=True)
+    K.publish_version(B.trailing_months(f, 3, AS_OF), base, write=write)
+    K.publish_version(f, base, write=write)  # full refresh replaces the first load
     return plain(K.read_current(spark, base, S.FACT).select(*S.FACT_COLUMNS))
 
 
