@@ -708,7 +708,7 @@ def _fact_roundtrip_csv(spark, sf_dir):
 @register("fact_roundtrip_parquet")
 def _fact_roundtrip_parquet(spark, sf_dir):
     path = scratch_path(spark, "fact-parquet")
-    K.write_fact_parquet(fact(spark, sf_dir), path)
+    K.write_fact_parquet(fact(spark, sf_dir), path, clustered=True)
     return plain(spark.read.schema(S.FACT).parquet(path).select(*S.FACT_COLUMNS))
 
 
