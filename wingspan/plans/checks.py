@@ -478,7 +478,7 @@ def _reconcile_tree(spark, sf_dir):
 @register("layouts_agree")
 def _layouts_agree(spark, sf_dir):
     path = scratch_path(spark, "row-copy")
-    K.write_fact_csv(fact(spark, sf_dir), path)
+    K.write_fact_csv(fact(spark, sf_dir), path, compression="gzip")
     return plain(Q.compare_copies(fact(spark, sf_dir), RAW.read_fact_csv(spark, path), AS_OF))
 
 
@@ -700,7 +700,7 @@ def _enriched_fact(spark, sf_dir):
 @register("fact_roundtrip_csv")
 def _fact_roundtrip_csv(spark, sf_dir):
     path = scratch_path(spark, "fact-csv")
-    K.write_fact_csv(fact(spark, sf_dir), path)
+    K.write_fact_csv(fact(spark, sf_dir), path, compression="gzip")
     return plain(RAW.read_fact_csv(spark, path))
 
 
