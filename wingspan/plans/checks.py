@@ -216,6 +216,9 @@ def _fact_csv_append(spark, sf_dir):
     return plain(spark.read.schema(S.FACT_WITH_AUDIT).parquet(f"{base}/target"))
 
 
+SYNCED = ["flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"]
+
+
 # P4 / I1 / E4 on the table form: every row, then the changed rows again with a seat more and a later time
 @register("fact_sync")
 def _fact_sync(spark, sf_dir):
@@ -228,8 +231,7 @@ def _fact_sync(spark, sf_dir):
     I.sync_once(stream, f"{base}/target", f"{base}/checkpoint")
     # order and line number repeat in the provided tables: ties go to the larger row
     ties = ["flight_number", "seats", "created_at", "codeshare"]
-    return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties)
-                 .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
+    return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties, SYNCED))
 
 
 # The table itself is read by its mark, before and after rows were updated in it

@@ -126,16 +126,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def current_state(
-    spark: SparkSession, target: str, keys: list[str], updated_at: str, tiebreak: list[str] | None = None
+    spark: SparkSession, target: str, keys: list[str], updated_at: str, tiebreak: list[str] | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Latest row per key over the compacted snapshot (if any) and the
-    batches written after it; a reader never rescans compacted batches."""
+    batches written after it; a reader never rescans compacted batches.
+
+    With ``columns`` (keys, ``updated_at`` or tie-break columns) the others are
+    neither read nor shuffled: they decide no row that these would tell apart."""
     order = [updated_at, "batch_id", *(tiebreak or [])]
     upto = compacted_upto(spark, target)
     rows = synced_changes(spark, target)
     if upto is not None:
         snapshot = read_current(spark, f"{target}/{COMPACTED}")
         rows = snapshot.unionByName(rows.filter(F.col("batch_id") > upto))
+    if columns is not None:
+        if other := set(columns) - {*keys, *order}:
+            raise ValueError(f"neither keys nor in the order: {sorted(other)}")
+        rows = rows.select(*dict.fromkeys([*keys, *order]))
+        return latest_per_key(rows, keys, order).select(*columns)
     return latest_per_key(rows, keys, order).drop("batch_id")
 
 
