@@ -57,6 +57,13 @@ def changed_since(df: DataFrame, col: str, mark, inclusive: bool = False) -> Dat
     return df.filter(F.col(col) >= m if inclusive else F.col(col) > m)
 
 
+def unchanged_since(df: DataFrame, col: str, mark, inclusive: bool = False) -> DataFrame:
+    """The rows that ``changed_since`` leaves out, those without a time included."""
+    m = X.ts_literal(mark, df.schema[col].dataType)
+    changed = F.col(col) >= m if inclusive else F.col(col) > m
+    return df.filter(~F.coalesce(changed, F.lit(False)))
+
+
 # B5 ---------------------------------------------------------------------------
 def recent_window(df: DataFrame, col: str, as_of_ts, minutes: int = 1) -> DataFrame:
     start = X.ts_literal(as_of_ts, df.schema[col].dataType) - F.expr(f"INTERVAL {int(minutes)} MINUTES")

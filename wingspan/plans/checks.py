@@ -240,13 +240,12 @@ def _table_feed_sync(spark, sf_dir):
     base = scratch_path(spark, "table-feed")
     rows = fact_table(spark, sf_dir)
     later = {"seats": F.col("seats") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")}
-    changed = B.changed_since(rows, "updated_at", FACT_MARK)
-    for version in (rows.exceptAll(changed), rows.exceptAll(changed).unionByName(changed.withColumns(later).select(*rows.columns))):
+    changed, rest = B.changed_since(rows, "updated_at", FACT_MARK), B.unchanged_since(rows, "updated_at", FACT_MARK)
+    for version in (rest, rest.unionByName(changed.withColumns(later).select(*rows.columns))):
         version.write.mode("overwrite").parquet(f"{base}/table")
         I.sync_once(table_changes(spark, f"{base}/table", S.FACT_WITH_AUDIT, "updated_at", "flight_id"), f"{base}/target", f"{base}/checkpoint")
     ties = ["flight_number", "seats", "created_at", "codeshare"]
-    return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties)
-                 .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
+    return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties, SYNCED))
 
 
 # The copy is merged as it is written
