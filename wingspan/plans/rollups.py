@@ -76,7 +76,8 @@ def _write_months(rows: DataFrame, rollup: Rollup, base: str) -> set[tuple[int,
     spark = rows.sparkSession
     codes = read_current(spark, f"{base}/codes")
     bitmaps = D.month_bitmaps(rows, codes, list(rollup.keys), rollup.column, rollup.sums())
-    out = bitmaps.hint("rebalance", *S.FACT_PARTITION_COLUMNS).sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, *rollup.keys)
+    # the bitmaps come clustered and sorted by month: they are written where they were made
+    out = bitmaps.sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, *rollup.keys)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*S.FACT_PARTITION_COLUMNS).parquet(f"{base}/months")
     return {tuple(r) for r in rows.select(*S.FACT_PARTITION_COLUMNS).distinct().collect()}  # a row for each month written
 
