@@ -69,8 +69,10 @@ def merge_batch(batch: DataFrame, batch_id: int, base: str, keys: list[str], upd
     rows = spark.read.schema(_stored(batch.schema)).parquet(own)
     touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # ``buckets`` at most
     if touched:
-        old = _read(spark, base, held, touched, batch.schema).withColumn(BUCKET, bucket_of(keys, buckets))
-        state = latest_per_key(old.unionByName(rows), keys, order)
+        state = rows
+        if any(b in held for b in touched):  # buckets that are new hold nothing to meet
+            old = _read(spark, base, held, touched, batch.schema).withColumn(BUCKET, bucket_of(keys, buckets))
+            state = latest_per_key(old.unionByName(rows), keys, order)
         state.hint("rebalance", BUCKET).write.option("maxRecordsPerFile", 5_000_000).partitionBy(BUCKET).parquet(f"{base}/files/{folder}")
     new = {b: (f, n, buckets) for b, (f, n, _) in held.items() if b >= 0} | {b: (folder, batch_id, buckets) for b in touched}
     new[-1] = ("", batch_id, buckets)
