@@ -28,7 +28,7 @@ from wingspan.plans import catalog as Q
 from wingspan.plans import pipelines as P
 from wingspan.plans import raw_fixture as R
 from wingspan.plans import rollups as U
-from wingspan.plans.fixture import fact_path, flights, flights_frame, rollup_path, table
+from wingspan.plans.fixture import fact_path, flights, flights_frame, rollup_path, table, write_fact_table
 from wingspan.session import scratch_path
 from wingspan.sources import profile as A
 from wingspan.sources import raw as RAW
@@ -238,12 +238,18 @@ def _fact_sync(spark, sf_dir):
 @register("table_feed_sync")
 def _table_feed_sync(spark, sf_dir):
     base = scratch_path(spark, "table-feed")
-    rows = fact_table(spark, sf_dir)
     later = {"seats": F.col("seats") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")}
-    changed, rest = B.changed_since(rows, "updated_at", FACT_MARK), B.unchanged_since(rows, "updated_at", FACT_MARK)
-    for version in (rest, rest.unionByName(changed.withColumns(later).select(*rows.columns))):
-        version.write.mode("overwrite").parquet(f"{base}/table")
+
+    def rest(rows):
+        return B.unchanged_since(rows, "updated_at", FACT_MARK)
+
+    def updated(rows):
+        return rest(rows).unionByName(B.changed_since(rows, "updated_at", FACT_MARK).withColumns(later).select(*rows.columns))
+
+    for version in (rest, updated):
+        write_fact_table(spark, sf_dir, f"{base}/table", mode="overwrite", change=version)
         I.sync_once(table_changes(spark, f"{base}/table", S.FACT_WITH_AUDIT, "updated_at", "flight_id"), f"{base}/target", f"{base}/checkpoint")
+    K.remove(spark, f"{base}/table")  # all of it is in the target
     ties = ["flight_number", "seats", "created_at", "codeshare"]
     return plain(I.current_state(spark, f"{base}/target", ["flight_id"], "updated_at", ties, SYNCED))
 

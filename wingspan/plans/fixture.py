@@ -14,7 +14,10 @@ At scale ``lineitem`` is the only large input. The plan joins ``orders`` to
 then to ``supplier`` and ``part``. These joins carry no hint: Spark broadcasts a
 side only when its real size is under ``spark.sql.autoBroadcastJoinThreshold``
 (AQE re-plans from shuffle sizes) and splits skewed partitions otherwise. Only
-the geography (nation x region, 25 rows by definition) is hinted. What follows
+the geography (nation x region, 25 rows by definition) is hinted. Suppliers come
+last, so rows leave the joins in order of supplier, from which half of their
+columns follow, and files pack them well. Large tables are built in slices of order keys, one after the other:
+a slice's shuffle files go before the next begins. What follows
 from a line's keys (codes, cities, coordinates, distance) is added after the last
 shuffle, so shuffles and sorts move narrow rows.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +38,12 @@ from pyspark.sql import types as T
 
 from wingspan import schemas as S
 from wingspan.functions import exprs as X
-from wingspan.session import shared_dir
-from wingspan.sources.sinks import current_version, publish_version, write_fact_parquet
+from wingspan.session import FREED, STAGED, settings, shared_dir
+from wingspan.sources.sinks import STAGED_FILES, _fs, current_version, publish_version, write_fact_parquet
+
+#: Bytes of line item files that a slice of a build takes, and how many slices there are at most.
+SLICE_BYTES = 512 << 20
+MOST_SLICES = 4
 
 _ROLLUPS: set[str] = set()
 _MATERIALISED: dict[tuple[str, str], str] = {}
@@ -66,8 +74,20 @@ def airport_code(kind: str, key) -> "F.Column":
     return F.concat(F.lit(kind), F.lpad(key.cast("string"), 6, "0"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One narrow row per line item: keys, names and measures, without what follows from them. Large shuffles move these."""
+def slices(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """The slices (number, of how many) in which the fact is built."""
+    lineitem, fs = _fs(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    n = max(1, min(MOST_SLICES, -(-fs.getContentSummary(lineitem).getLength() // SLICE_BYTES)))
+    return [(k, n) for k in range(n)]
+
+
+def _of_slice(rows: DataFrame, key: str, part: tuple[int, int]) -> DataFrame:
+    k, n = part
+    return rows if n == 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k)
+
+
+def _lines(spark: SparkSession, sf_dir: str, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """One narrow row per line item (of a slice): keys, names and measures, without what follows from them. Large shuffles move these."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         (F.col("l_quantity") * 10).cast("int").alias("seats"),
@@ -75,16 +95,17 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("flight_date"),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li, orders = _of_slice(li, "l_orderkey", part), _of_slice(orders, "o_orderkey", part)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     dest = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_custkey", "c_nationkey"
     )
     j = (
         li.join(dest, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
     return j.drop("o_orderkey", "s_suppkey", "p_partkey")
 
@@ -137,13 +158,23 @@ def _widened(lines: DataFrame, sf_dir: str, table_form: bool = False) -> DataFra
     return j.select(*[cols[name].alias(name) for name in S.FACT_COLUMNS], *kept)
 
 
-def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False) -> DataFrame:
-    """Lazy plan of the fact over the raw tables (FACT column order).
+def flights_frame(spark: SparkSession, sf_dir: str, table_form: bool = False, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Lazy plan of the fact, or of a slice of it, over the raw tables (FACT column order).
 
     ``table_form`` gives the analytical table's 27 columns instead: the key
     ``flight_id`` (order key and line number), the fact, and the audit times
     ``created_at`` / ``updated_at``."""
-    return _widened(_lines(spark, sf_dir), sf_dir, table_form)
+    return _widened(_lines(spark, sf_dir, part), sf_dir, table_form)
+
+
+def write_fact_table(spark: SparkSession, sf_dir: str, path: str, mode: str = "errorifexists",
+                     change: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write the table form to a staged copy at ``path``, or what ``change`` makes of its rows, slice by slice."""
+    for part in slices(spark, sf_dir):
+        rows = flights_frame(spark, sf_dir, True, part)
+        with settings(spark, STAGED):
+            writer = (change(rows) if change else rows).write.mode("append" if part[0] else mode)
+            writer.options(**STAGED_FILES).parquet(path)
 
 
 def _write_lines(sf_dir: str):

@@ -20,6 +20,9 @@ from wingspan.session import settings
 
 POINTER = "_current"
 
+#: Parquet options of large staged copies: packed well, in row groups that a reader holds whole without harm.
+STAGED_FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+
 
 # A4 (Parquet) ---------------------------------------------------------------------
 def write_fact_parquet(df: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists",
@@ -112,6 +115,12 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it, if it is there."""
+    folder, fs = _fs(spark, path)
+    fs.delete(folder, True)
+
+
 def _pointers(spark: SparkSession, base: str) -> list[str]:
     folder, fs = _fs(spark, f"{base}/{POINTER}")
     if not fs.exists(folder):

@@ -34,6 +34,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Whole rows that a task reads at a time.
+PIECE_ROWS = 1 << 16
 #: The mark before every row.
 START = (-(1 << 63), -(1 << 63))
 
@@ -105,13 +107,20 @@ class FeedReader(DataSourceStreamReader):
         return out
 
     def _marks(self, path: str, groups: list[int], columns: list[str] | None = None) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-        """Row groups one at a time, without rows that have no time or key, with their times and keys."""
+        """Row groups one at a time, without rows that have no time or key, with their times and keys.
+
+        With ``columns`` a row group comes in pieces of ``PIECE_ROWS`` rows, so a task holds few whole rows at once."""
         fragment = ds.dataset(path, format="parquet")
         for piece in next(fragment.get_fragments()).split_by_row_group():
             if piece.row_groups[0].id in groups:
-                rows = piece.to_table(columns=columns or [self.updated_at, self.key])
-                rows = rows.filter(pc.and_(pc.is_valid(rows[self.updated_at]), pc.is_valid(rows[self.key])))
-                yield rows, _micros(rows[self.updated_at]), rows[self.key].cast(pa.int64()).to_numpy()
+                if columns is None:
+                    parts = [piece.to_table(columns=[self.updated_at, self.key])]
+                else:
+                    scan = piece.to_batches(columns=columns, batch_size=PIECE_ROWS, batch_readahead=1, use_threads=False)
+                    parts = (pa.Table.from_batches([b]) for b in scan if b.num_rows)
+                for rows in parts:
+                    rows = rows.filter(pc.and_(pc.is_valid(rows[self.updated_at]), pc.is_valid(rows[self.key])))
+                    yield rows, _micros(rows[self.updated_at]), rows[self.key].cast(pa.int64()).to_numpy()
 
     def _next(self, after: tuple[int, int]) -> tuple[int, int]:
         """The mark that ends the batch after ``after``: that of its ``max_rows``-th row, or the last that has settled."""

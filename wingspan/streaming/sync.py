@@ -24,7 +24,8 @@ from pyspark.sql.types import StructType
 from wingspan import schemas as S
 from wingspan.functions.exprs import ts_literal
 from wingspan.operators.windows import latest_per_key
-from wingspan.sources.sinks import _fs, current_version, publish_version, read_current
+from wingspan.session import FREED, settings
+from wingspan.sources.sinks import STAGED_FILES, _fs, current_version, publish_version, read_current
 
 CHANGES = "changes"
 METRICS = "metrics"
@@ -59,7 +60,8 @@ def batch_writer(target: str):
         # written once, in one pass; the row count comes from Parquet footers
         spark = batch.sparkSession
         folder = f"{target}/{CHANGES}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(folder)
+        with settings(spark, FREED):
+            batch.write.mode("overwrite").options(**STAGED_FILES).parquet(folder)
         rows = spark.read.schema(batch.schema).parquet(folder).count()
         if not rows:  # I5: an empty batch leaves nothing behind
             path, fs = _fs(spark, folder)
