@@ -476,7 +476,7 @@ def _reconcile_diff(spark, sf_dir):
 @register("reconcile_tree")
 def _reconcile_tree(spark, sf_dir):
     path = scratch_path(spark, "fact-tree")
-    fact_table(spark, sf_dir).write.parquet(path)  # joined once: the tree reads both copies on every level
+    write_fact_table(spark, sf_dir, path)  # joined once: the tree reads both copies on every level
     left = spark.read.schema(S.FACT_WITH_AUDIT).parquet(path)
     right = left.filter(F.coalesce(F.col("flight_id") % 1000 != 8, F.lit(True))).withColumn(
         "seats", F.when(F.col("flight_id") % 1000 == 7, F.col("seats") + 1).otherwise(F.col("seats")).cast(left.schema["seats"].dataType))
