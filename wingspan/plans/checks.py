@@ -258,13 +258,17 @@ def _table_feed_sync(spark, sf_dir):
 @register("fact_sync_merged")
 def _fact_sync_merged(spark, sf_dir):
     base = scratch_path(spark, "fact-merged")
-    rows = fact_table(spark, sf_dir)
     later = {"seats": F.col("seats") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")}
     ties = ["flight_number", "seats", "created_at", "codeshare"]
-    for version in (rows, B.changed_since(rows, "updated_at", FACT_MARK).withColumns(later)):
-        version.write.mode("append").parquet(f"{base}/feed")
+
+    def changed(rows):
+        return B.changed_since(rows, "updated_at", FACT_MARK).withColumns(later)
+
+    for version in (None, changed):
+        write_fact_table(spark, sf_dir, f"{base}/feed", mode="append", change=version)
         stream = I.change_stream(spark, f"{base}/feed", S.FACT_WITH_AUDIT)
         MERGED.sync_merged(stream, f"{base}/copy", f"{base}/checkpoint", ["flight_id"], "updated_at", ties, buckets=16).awaitTermination()
+    K.remove(spark, f"{base}/feed")  # all of it is merged
     return plain(MERGED.read_merged(spark, f"{base}/copy", S.FACT_WITH_AUDIT)
                  .select("flight_id", "flight_number", "seats", "codeshare", "created_at", "updated_at"))
 

@@ -5,6 +5,9 @@ when it comes: keys hash to a fixed number of buckets, the batch's rows meet the
 latest row of each key is written anew, and a manifest names the folder that now holds each bucket. Buckets without
 changes are neither read nor written, and readers just read the folders of the manifest.
 
+A batch is first written by bucket, without a shuffle. Then buckets are merged a few at a time, so much as ``GROUP_BYTES``
+of files, each row shuffled once; what a group shuffled and its incoming files go before the next group begins.
+
 A manifest is published as a version (``sinks.publish_version``): before that readers see the state before the batch,
 after it the state with it, never a mixture. It also names the batch, so a replayed batch is passed over and a failed one
 leaves only unnamed files, which ``vacuum`` removes. One writer at a time, as a streaming query has.
@@ -18,17 +21,24 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from wingspan.operators.windows import latest_per_key
-from wingspan.sources.sinks import _fs, current_version, publish_version, read_current
+from wingspan.session import STAGED, settings
+from wingspan.sources.sinks import STAGED_FILES, _fs, current_version, publish_version, read_current, remove
 
 BUCKET = "__bucket"
 BATCH = "__batch"
 _MANIFEST = "bucket int, folder string, batch long, buckets int"
+#: Bytes of files, old and incoming, that are merged at a time: one bucket at least.
+GROUP_BYTES = 512 << 20
+#: Files that a task keeps open while it writes by bucket; with more buckets it sorts its rows.
+OPEN_FILES = 32
 
 
 def bucket_of(keys: list[str], buckets: int) -> Column:
@@ -42,6 +52,19 @@ def manifest(spark: SparkSession, base: str) -> dict[int, tuple[str, int, int]]:
     return {r.bucket: (r.folder, r.batch, r.buckets) for r in read_current(spark, f"{base}/manifest").collect()}  # a row a bucket
 
 
+def _groups(sizes: dict[int, int], most: int) -> Iterator[list[int]]:
+    """The buckets in groups of at most so many bytes, or of one bucket."""
+    group, held = [], 0
+    for b, n in sorted(sizes.items()):
+        if group and held + n > most:
+            yield group
+            group, held = [], 0
+        group.append(b)
+        held += n
+    if group:
+        yield group
+
+
 def _stored(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(BATCH, LongType()), StructField(BUCKET, IntegerType())])
 
@@ -61,24 +84,33 @@ def merge_batch(batch: DataFrame, batch_id: int, base: str, keys: list[str], upd
     if batch_id <= done:
         return []
     rows = batch.withColumns({BATCH: F.lit(batch_id).cast("long"), BUCKET: bucket_of(keys, buckets)})
-    # reduced first and written: one pass over the source, and a hot key is one row from here on
     order = [updated_at, BATCH, *(ties or [])]
     folder = f"batch-{batch_id}-{uuid.uuid4().hex[:12]}"
-    own = f"{base}/incoming/{folder}"
-    latest_per_key(rows, keys, order).write.parquet(own)
-    rows = spark.read.schema(_stored(batch.schema)).parquet(own)
-    touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # ``buckets`` at most
-    if touched:
-        state = rows
-        if any(b in held for b in touched):  # buckets that are new hold nothing to meet
-            old = _read(spark, base, held, touched, batch.schema).withColumn(BUCKET, bucket_of(keys, buckets))
-            state = latest_per_key(old.unionByName(rows), keys, order)
-        state.hint("rebalance", BUCKET).write.option("maxRecordsPerFile", 5_000_000).partitionBy(BUCKET).parquet(f"{base}/files/{folder}")
+    own, fields = f"{base}/incoming/{folder}", StructType(_stored(batch.schema).fields[:-1])
+    with settings(spark, STAGED | {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        rows.write.options(**STAGED_FILES).partitionBy(BUCKET).parquet(own)  # one pass over the source
+    path, fs = _fs(spark, own)
+    found = [p for p in (f.getPath().getName() for f in fs.listStatus(path)) if p.startswith(BUCKET)]  # ``buckets`` at most
+    touched = sorted(int(p.split("=")[1]) for p in found)
+    sizes = {}
+    for b in touched:
+        folders = [f"{own}/{BUCKET}={b}", *([f"{base}/files/{held[b][0]}/{BUCKET}={b}"] if b in held else [])]
+        sizes[b] = sum(fs.getContentSummary(_fs(spark, f)[0]).getLength() for f in folders)
+    for group in _groups(sizes, GROUP_BYTES):
+        state = spark.read.schema(fields).parquet(*[f"{own}/{BUCKET}={b}" for b in group])
+        if any(b in held for b in group):  # buckets that are new hold nothing to meet
+            state = _read(spark, base, held, group, batch.schema).unionByName(state)
+        # reduced within each task first, so a hot key is a row a task; a group's tasks write where they reduced
+        state = latest_per_key(state.withColumn(BUCKET, bucket_of(keys, buckets)), [BUCKET, *keys], order)
+        with settings(spark, STAGED):
+            writer = state.write.mode("append").option("maxRecordsPerFile", 5_000_000).options(**STAGED_FILES)
+            writer.partitionBy(BUCKET).parquet(f"{base}/files/{folder}")
+        for b in group:
+            remove(spark, f"{own}/{BUCKET}={b}")
     new = {b: (f, n, buckets) for b, (f, n, _) in held.items() if b >= 0} | {b: (folder, batch_id, buckets) for b in touched}
     new[-1] = ("", batch_id, buckets)
     publish_version(spark.createDataFrame([(b, *x) for b, x in sorted(new.items())], _MANIFEST).coalesce(1), f"{base}/manifest")
-    path, fs = _fs(spark, own)
-    fs.delete(path, True)
+    remove(spark, own)
     return touched
 
 
