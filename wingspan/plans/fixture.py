@@ -178,10 +178,17 @@ def write_fact_table(spark: SparkSession, sf_dir: str, path: str, mode: str = "e
 
 
 def _write_lines(sf_dir: str):
-    """Writer of the fact from narrow lines: these are shuffled and sorted, the other columns follow as files are written."""
+    """Writer of the fact from narrow lines: these are shuffled and sorted, the other columns follow as files are written.
+
+    The fact is written slice by slice: a month has a file or more of each."""
 
     def write(lines: DataFrame, path: str) -> str:
-        return write_fact_parquet(lines, path, widen=lambda rows: _widened(rows, sf_dir))
+        spark = lines.sparkSession
+        for part in slices(spark, sf_dir):
+            own = lines if part[1] == 1 else _lines(spark, sf_dir, part)
+            with settings(spark, FREED):
+                write_fact_parquet(own, path, mode="append" if part[0] else "errorifexists", widen=lambda rows: _widened(rows, sf_dir))
+        return path
 
     return write
 

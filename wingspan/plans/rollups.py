@@ -22,7 +22,11 @@ from wingspan.operators import distinct as D
 from wingspan.operators import filters as B
 from wingspan.operators import ordering as O
 from wingspan.plans import catalog as Q
-from wingspan.sources.sinks import publish_version, read_current
+from wingspan.session import FREED, settings
+from wingspan.sources.sinks import _fs, publish_version, read_current
+
+#: Rows of the fact whose bitmaps are made at a time: one month's at least.
+SLICE_ROWS = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,8 @@ def _month() -> Column:
 def build(fact: DataFrame, rollup: Rollup, base: str) -> None:
     """Codes and months of the whole fact, as read from its files, below ``base``. Rows without a date are in no month."""
     dated = fact.filter(F.col("flight_date").isNotNull())
-    publish_version(D.dense_codes(dated, rollup.column), f"{base}/codes")
+    with settings(fact.sparkSession, FREED):
+        publish_version(D.dense_codes(dated, rollup.column), f"{base}/codes")
     _write_months(dated, rollup, base)
 
 
@@ -73,13 +78,37 @@ def refresh(fact: DataFrame, rollup: Rollup, base: str, months: list[tuple[int,
 
 
 def _write_months(rows: DataFrame, rollup: Rollup, base: str) -> set[tuple[int, int]]:
+    """Months are written some at a time, ``SLICE_ROWS`` of their rows: what these shuffle goes before the next ones begin.
+
+    The file that tells that all is written comes last."""
     spark = rows.sparkSession
     codes = read_current(spark, f"{base}/codes")
-    bitmaps = D.month_bitmaps(rows, codes, list(rollup.keys), rollup.column, rollup.sums())
-    # the bitmaps come clustered and sorted by month: they are written where they were made
-    out = bitmaps.sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, *rollup.keys)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*S.FACT_PARTITION_COLUMNS).parquet(f"{base}/months")
-    return {tuple(r) for r in rows.select(*S.FACT_PARTITION_COLUMNS).distinct().collect()}  # a row for each month written
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy(*S.FACT_PARTITION_COLUMNS).count().collect()}  # a row for each month
+    groups = _some_months(counts) or [[]]
+    for months in groups:
+        some = rows if len(groups) == 1 else rows.filter(_month().isin([y * 12 + m - 1 for y, m in months]))
+        bitmaps = D.month_bitmaps(some, codes, list(rollup.keys), rollup.column, rollup.sums())
+        # the bitmaps come clustered and sorted by month: they are written where they were made
+        out = bitmaps.sortWithinPartitions(*S.FACT_PARTITION_COLUMNS, *rollup.keys).write.mode("overwrite")
+        out = out.options(compression="zstd", partitionOverwriteMode="dynamic")  # bitmaps are zeros for the most part
+        out = out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", False)
+        with settings(spark, FREED):
+            out.partitionBy(*S.FACT_PARTITION_COLUMNS).parquet(f"{base}/months")
+    done, fs = _fs(spark, f"{base}/months/_SUCCESS")
+    fs.create(done).close()
+    return set(counts)
+
+
+def _some_months(counts: dict[tuple[int, int], int]) -> list[list[tuple[int, int]]]:
+    """The months in groups of at most ``SLICE_ROWS`` rows, or of one month."""
+    out, held = [], 0
+    for month, n in sorted(counts.items()):
+        if not out or held + n > SLICE_ROWS:
+            out.append([])
+            held = 0
+        out[-1].append(month)
+        held += n
+    return out
 
 
 def exists(spark: SparkSession, base: str) -> bool:
