@@ -17,11 +17,11 @@ from wingspan.functions import exprs as X
 from wingspan.operators import enrich as C
 from wingspan.operators import filters as B
 from wingspan.operators import ordering as O
-from wingspan.session import scratch_path
+from wingspan.session import FREED, scratch_path, settings
 from wingspan.sources import raw, sinks
 
-ENRICHED_COLUMNS = [c for c in S.FACT_COLUMNS if c not in ("flight_date", "flight_year", "flight_month",
-                                                            "flight_quarter")]
+DATE_COLUMNS = ["flight_date", "flight_year", "flight_month", "flight_quarter"]
+ENRICHED_COLUMNS = [c for c in S.FACT_COLUMNS if c not in DATE_COLUMNS]
 
 
 def route_seed():
@@ -105,8 +105,9 @@ def run(
 ) -> DataFrame:
     """Raw files -> enriched fact -> partitioned Parquet at ``out_path``.
 
-    The enriched routes are staged, then every date of the calendar is a pass over them that writes its own month: the
-    expanded rows, 25 times as many, are neither shuffled nor sorted. Staged rows stand in order of their codes, which
+    The enriched routes are staged, then each task writes its rows for every date of the calendar, which is the same for
+    all routes, into that date's month: the expanded rows, 25 times as many, are neither shuffled nor sorted. Where Arrow
+    can't write, every date is a pass of its own over the staged rows. These stand in order of their codes, which
     Parquet packs well. For a full refresh that readers may be using, publish with
     ``sinks.publish_version`` instead of ``mode="overwrite"``."""
     enriched = enrich_routes(
@@ -115,12 +116,16 @@ def run(
         raw.read_airlines(spark, airlines_path),
     )
     staged = scratch_path(spark, "enriched")
-    enriched.sortWithinPartitions("origin_airport", "destination_airport", "airline_code").write.parquet(staged)
+    with settings(spark, FREED):
+        enriched.sortWithinPartitions("origin_airport", "destination_airport", "airline_code").write.parquet(staged)
     rows = spark.read.schema(enriched.schema).parquet(staged)
-    by_date = [expand_calendar(rows, day, months=0) for day in X.month_starts(X.as_date(as_of), S.HISTORY_MONTHS)]
-    sinks.write_fact_by_date(reduce(DataFrame.unionByName, by_date), out_path, mode=mode)
-    folder, fs = sinks._fs(spark, staged)
-    fs.delete(folder, True)
+    if sinks.writes_calendar(spark, out_path):
+        one = spark.createDataFrame([(None,) * len(rows.columns)], rows.schema)
+        sinks.write_fact_calendar(rows, expand_calendar(one, as_of).select(*DATE_COLUMNS), out_path)
+    else:
+        by_date = [expand_calendar(rows, day, months=0) for day in X.month_starts(X.as_date(as_of), S.HISTORY_MONTHS)]
+        sinks.write_fact_by_date(reduce(DataFrame.unionByName, by_date), out_path, mode=mode)
+    sinks.remove(spark, staged)
     return spark.read.schema(S.FACT).parquet(out_path)
 
 

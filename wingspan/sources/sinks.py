@@ -9,7 +9,7 @@ write leaves the old version in place and there is no moment without one.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +72,100 @@ def write_fact_by_date(df: DataFrame, path: str, mode: str = "errorifexists") ->
     return path
 
 
+#: Rows that a task of ``write_fact_calendar`` holds and writes for every date.
+CALENDAR_ROWS = 1 << 18
+
+
+def _calendar_writer(folder: str, dates: list[dict]) -> Callable:
+    """A task of ``write_fact_calendar``: for each date one file, complete when it gets its name."""
+
+    def write(batches: Iterator) -> Iterator:
+        import os
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        task, attempt, writers, rows = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], {}, 0
+        kinds = [("flight_date", pa.date32()), ("flight_year", pa.int32()), ("flight_month", pa.int32()), ("flight_quarter", pa.int32())]
+
+        def flush(held: list) -> int:
+            table = pa.Table.from_batches(held).combine_chunks()
+            for i, field in enumerate(table.schema):  # once, not once a date
+                if pa.types.is_string(field.type):
+                    table = table.set_column(i, field.name, table[i].dictionary_encode())
+            for at, day in enumerate(dates):
+                dated = table
+                for name, kind in kinds:
+                    dated = dated.append_column(name, pa.repeat(pa.scalar(day[name], kind), table.num_rows))
+                dated = dated.select(S.FACT_COLUMNS)
+                if at not in writers:
+                    year, month = S.FACT_PARTITION_COLUMNS
+                    home = f"{folder}/{year}={day['flight_year']}/{month}={day['flight_month']}"
+                    os.makedirs(home, exist_ok=True)
+                    name = f"{home}/.{attempt}-{at}", f"{home}/part-{task:05d}-{day['flight_date']}.snappy.parquet"
+                    writers[at] = (*name, pq.ParquetWriter(name[0], dated.schema, compression="snappy", store_decimal_as_integer=True, store_schema=False))
+                writers[at][2].write_table(dated)
+            return table.num_rows
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CALENDAR_ROWS:
+                rows += flush(held)
+                held, n = [], 0
+        if n:
+            rows += flush(held)
+        for temporary, final, writer in writers.values():
+            writer.close()
+            os.replace(temporary, final)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows * len(dates)], pa.int64())})
+
+    return write
+
+
+def write_fact_calendar(rows: DataFrame, dates: DataFrame, path: str) -> int:
+    """Each of ``rows`` (the fact's columns without dates) once for every one of ``dates`` (its date columns, a row a date;
+    few), as ``write_fact_by_date`` writes them; returns how many were written.
+
+    A task turns its rows into columns once and writes these for all dates with Arrow, a tenth of the work of writing them
+    row by row. Files stand below ``_temporary`` until all are there. Arrow writes to a local or mounted file system
+    (``writes_calendar``).
+    """
+    spark = rows.sparkSession
+    folder, fs = _fs(spark, path)
+    fs.mkdirs(folder)
+    days = [r.asDict() for r in dates.collect()]
+    staged = f"{path}/_temporary"
+    local = _fs(spark, staged)[0].toUri().getPath()
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": SCAN_BYTES}):
+        written = rows.mapInArrow(_calendar_writer(local, days), "rows bigint").agg(F.sum("rows")).first()[0]
+    home = _fs(spark, staged)[0]
+    for year in fs.listStatus(home) if fs.exists(home) else []:
+        if not fs.rename(year.getPath(), _fs(spark, f"{path}/{year.getPath().getName()}")[0]):
+            raise OSError(f"{year.getPath()} could not be moved to {path}")
+    fs.delete(home, True)
+    fs.create(_fs(spark, f"{path}/_SUCCESS")[0]).close()
+    return written or 0
+
+
+def month_folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The month folders of a written fact, with the bytes of their files."""
+    (top, fs), (year, month) = _fs(spark, path), S.FACT_PARTITION_COLUMNS
+
+    def below(folder, name: str) -> list:
+        return sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith(f"{name}=")), key=str)
+
+    return [(m.toString(), fs.getContentSummary(m).getLength()) for y in below(top, year) for m in below(y, month)]
+
+
+def writes_calendar(spark: SparkSession, path: str) -> bool:
+    """Whether ``write_fact_calendar`` can write to ``path``: a new folder that tasks reach as files."""
+    folder, fs = _fs(spark, path)
+    return fs.getUri().getScheme() == "file" and not fs.exists(folder)
+
+
 # A4 (CSV, the reference's exchange format) ---------------------------------------------
 def write_fact_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> str:
     """CSV with header, FACT column order, flag as 0/1.
